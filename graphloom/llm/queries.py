@@ -1,0 +1,58 @@
+"""The registered queries of this subpackage: each applies one operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import sql
+from .license_scan import scan_licenses
+from .mixing import mix_sources
+from .url_filter import Rule, host_rule, url_filter
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: What the contract fixes: a host and the beginning of a path.
+BASE_RULES = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
+
+#: The method's own rules, for URLs that no base rule fits.
+OWN_RULES = [
+    Rule("||cheap-pills.", "||cheap-pills.", "block"),
+    Rule("-pills.", "-pills.", "block"),
+    Rule("||ads.", "||ads.", "block"),
+    Rule("||adserver.", "||adserver.", "block"),
+    Rule("||tracker.", "||tracker.", "block"),
+    Rule("/casino/", "/casino/", "block"),
+    Rule("/poker/", "/poker/", "block"),
+    Rule("/xxx/", "/xxx/", "block"),
+    Rule("/wp-login.php", "/wp-login.php", "block"),
+    Rule("||docs.", "||docs.", "allow", 1),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule (the deciding base rule or null), verdict, own_rule."""
+    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), BASE_RULES + OWN_RULES)
+    is_base = F.col("rule_tier") == 2
+    return out.select("page_id", "host", "path", F.when(is_base, F.col("rule_name")).alias("rule"), "verdict", F.when(~is_base, F.col("rule_name")).alias("own_rule"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict:
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql()
