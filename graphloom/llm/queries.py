@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .decontaminate import find_contamination
 from .html_extract import extract_html
 from .license_scan import scan_licenses
 from .mixing import mix_sources
@@ -52,6 +53,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, start, end, places: one row for each benchmark item a document holds."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
     return extract_html(table(spark, sf_dir, "pages"))
