@@ -10,6 +10,7 @@ from .decontaminate import find_contamination
 from .html_extract import extract_html
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .url_filter import Rule, host_rule, url_filter
 
@@ -43,6 +44,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", F.when(is_base, F.col("rule_name")).alias("rule"), "verdict", F.when(~is_base, F.col("rule_name")).alias("own_rule"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id: the least doc_id of the document's class of near copies."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
