@@ -60,7 +60,7 @@ def cleanup(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: for a scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def n_buckets(df: DataFrame, bytes_each: int = 1 << 20, least: int = 512) -> int:

@@ -12,6 +12,7 @@ from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
+from .substring_dedup import dedup_substrings
 from .url_filter import Rule, host_rule, url_filter
 
 
@@ -54,6 +55,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256."""
+    return dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     return scan_licenses(table(spark, sf_dir, "documents"))

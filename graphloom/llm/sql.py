@@ -116,5 +116,25 @@ FROM t LEFT JOIN by_doc USING (r)
 """
 
 
+OP4 = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), win AS (
+  SELECT r, coalesce(doc_id, 9223372036854775807) AS d, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t)
+), judged AS (
+  SELECT r, i, row(d, i) > min(row(d, i)) OVER (PARTITION BY s) AS later FROM win
+), covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM judged WHERE later
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN covered USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op3_mix_sources": OP3, "op5_license_scan": op5()}
+    return {"op1_url_filter": OP1, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op5_license_scan": op5()}
