@@ -9,6 +9,7 @@ from . import sql
 from .decontaminate import find_contamination
 from .html_extract import extract_html
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
@@ -80,6 +81,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text: what stays of each document."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
