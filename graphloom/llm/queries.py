@@ -10,6 +10,7 @@ from .decontaminate import find_contamination
 from .html_extract import extract_html
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
@@ -71,6 +72,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
     return extract_html(table(spark, sf_dir, "pages"))
