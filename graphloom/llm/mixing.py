@@ -45,8 +45,11 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, max_copi
     return df.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final"))).drop("cap", "total", "ratio", "level", "capped", "final")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_copies: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken, u."""
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_copies: float = 2.0, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken, u.
+
+    The columns in ``carry`` come along, as the struct ``row``.
+    """
     source = F.col("`source`").cast("string")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     sized = docs.select(
@@ -55,6 +58,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.coalesce(F.concat(F.lit("="), source), F.lit("~")).alias("key"),
         F.coalesce(F.regexp_count(F.col("`text`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         u.alias("u"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     sized = materialize(sized, "mix-sizes")
     found = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -77,11 +81,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
 
     rows = sized.join(small(at), "key").withColumn("range", F.floor(F.col("u") * F.col("ranges")))
     clear = rows.where("edge is null or range <> edge").withColumn("more", F.coalesce(F.col("range") < F.col("edge"), F.lit(False)))
-    order = Window.partitionBy("key").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, 0)
     p = F.col("rest") / F.greatest(F.col("source_size"), F.lit(1))
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     within = rows.where("range = edge").withColumn("rank_odds", odds)
     order = Window.partitionBy("key").orderBy("rank_odds", "u", "size").rowsBetween(Window.unboundedPreceding, 0)
     within = within.withColumn("more", F.col("edge_began") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("rest")).drop("rank_odds")
     out = clear.unionByName(within).withColumn("copies", F.col("whole") + F.col("more").cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "u")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "u", *(["row"] if carry else []))
