@@ -44,7 +44,7 @@ _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x
 _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 FIRST_BLOCK = 512
 #: Mixing weights that a document starts with, by gate and order.
-WEIGHTS = np.array([[0.3, 0.3, 0.3], [1.0, 0.1, 0.1], [0.3, 0.8, 0.1], [0.1, 0.25, 0.75]], np.float32)
+WEIGHTS = np.array([[0.3, 0.3, 0.3], [1.0, 0.1, 0.1], [0.4, 0.7, 0.1], [0.2, 0.5, 0.5]], np.float32)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -152,7 +152,7 @@ def train(chunks: DataFrame) -> np.ndarray:
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log odds of outcome 1 in sixteenths, within 8; 0 only where nothing was counted."""
-    q = np.rint(np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -7.9, 7.9) * 16).astype(np.int8)
+    q = np.rint(np.clip(np.log((n1 + 0.2) / (n0 + 0.2)), -7.9, 7.9) * 16).astype(np.int8)
     q[(q == 0) & (n0 + n1 > 0)] = 1
     return q
 
