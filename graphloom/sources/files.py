@@ -178,4 +178,4 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*parse_turtle(text, f"x{i}"), strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, schema).distinct()
+    return spark.read.text(path, wholetext=True).mapInArrow(run, schema).distinct()
