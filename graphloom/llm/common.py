@@ -17,8 +17,6 @@ rows share is so sent once a chunk, never once a row.
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,38 +24,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from ..plans.written import cleanup, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
 
 
-# ---------------------------------------------------------------- written tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete the tables this application has written; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: for a scan, the bytes of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -217,6 +191,4 @@ def _empty(schema: str) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
-def project(df: DataFrame, **columns) -> DataFrame:
-    """Just these columns, under these names; other columns, whatever their names, are dropped."""
-    return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+__all__ = ["cleanup", "materialize", "Hashes", "answer", "ask", "bucket_of", "encode", "meet", "mix", "n_buckets", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]

@@ -11,7 +11,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import queries
-from graphloom.llm.components import connected_components
 from graphloom.llm.decontaminate import drop_contaminated, find_contamination, myers, normalize, pattern_bits
 from graphloom.llm.html_extract import extract_html, main_text
 from graphloom.llm.line_dedup import dedup_lines
@@ -90,23 +89,6 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert abs(got - true) < 0.02
 
 
-def test_components(spark):
-    rng = np.random.default_rng(3)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    got = {r["id"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in got} and {x for e in edges for x in e if e[0] != e[1]} == set(got)
-
-
 # ---------------------------------------------------------------- decontamination
 def distance_in(p, t):
     prev = [0] * (len(t) + 1)
