@@ -86,8 +86,9 @@ def rarest_tokens(urls: DataFrame, subject: Column, rules: Sequence[Rule]) -> li
     own = sorted({t for r in rules for t in r.tokens()})
     if not own:
         return [""] * len(rules)
-    wanted = spark.createDataFrame([(t,) for t in own], "token string")
-    seen = urls.select(F.explode(_tokens(subject)).alias("token")).join(wanted, "token").groupBy("token").count()
+    # counted before they are joined: a token that most URLs have is then one row a task
+    seen = urls.select(F.explode(_tokens(subject)).alias("token")).groupBy("token").count()
+    seen = seen.join(spark.createDataFrame([(t,) for t in own], "token string"), "token")
     n = {r["token"]: r["count"] for r in seen.collect()}
     return [min(r.tokens(), key=lambda t: (n.get(t, 0), -len(t), t), default="") for r in rules]
 
