@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_
             for d in gone:
                 n[d] = len(texts[d])
             table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array(n, table.schema.field("n_chars").type))
-        table = table.append_column("n_lines", pa.array([sum(1 for x in raw or () if x.split()) for raw in lines.raw], pa.int64()))
+        table = table.append_column("n_lines", pa.array([sum(1 for x in raw or () if x.strip()) for raw in lines.raw], pa.int64()))
         return table.append_column("n_dropped", pa.array([len(gone.get(d, ())) for d in range(table.num_rows)], pa.int64()))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
