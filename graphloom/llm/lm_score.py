@@ -208,7 +208,7 @@ def log10_probability(raw: bytes, model: np.ndarray) -> float:
         begin = min(len(x), begin + size)
         b = int(ends[begin - 1])
         size *= 2
-        g, y, own = gate[a:b], sign[a:b], t[:, a:b]
+        g, y, own = gate[a:b].astype(np.intp), sign[a:b], t[:, a:b]
         z = own[0] * w[0].take(g)
         z += own[1] * w[1].take(g)
         z += own[2] * w[2].take(g)
