@@ -73,9 +73,10 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, min_
 
     votes = hits.groupBy("doc_id", "print", "template", "label", "base", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats"))
     base = votes.where("base and votes = size")
-    # neighbouring diagonals that also touch in the text merge
+    # neighbouring diagonals merge, whichever half comes first in the text: a missing word puts the
+    # later half on the smaller diagonal. A diagonal's hits lie within size words, so neighbours are near.
     line = Window.partitionBy("doc_id", "print", "template").orderBy("diagonal", "first")
-    near = (F.col("diagonal") - F.lag("diagonal").over(line) <= slack) & (F.col("first") - F.lag("last").over(line)).between(0, F.col("size") + slack)
+    near = F.col("diagonal") - F.lag("diagonal").over(line) <= slack
     spans = votes.where("not base").withColumn("group", F.sum(F.when(near, 0).otherwise(1)).over(line))
     spans = spans.groupBy("doc_id", "print", "template", "label", "size", "group").agg(F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("first"), F.max("last").alias("last"))
     spans = spans.withColumn("share", F.size(F.array_distinct("ats")) / F.col("size")).where((F.col("share") >= min_share) & (F.col("last") - F.col("first") < F.col("size") * 2 + slack))
