@@ -152,7 +152,7 @@ def entity_mentions(spark, sf_dir):
 @query()
 def link_best(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    own = p.where("p_size <= 5").select(iri("part", "p_partkey").alias("uri"), F.initcap("p_name").alias("label"), F.concat(F.lit(f"{NS}"), "p_type").alias("type"))
+    own = p.select(iri("part", "p_partkey").alias("uri"), F.initcap("p_name").alias("label"), F.concat(F.lit(f"{NS}"), "p_type").alias("type"))
     catalog = p.groupBy(F.col("p_name").alias("label")).agg(F.min(F.concat(F.lit("Q"), F.col("p_partkey"))).alias("qid"), F.min(F.lower("p_type")).alias("description"))
     scored = linking.score(linking.candidates(own, catalog), {"ECONOMY": linking.Hints(good=("economy",), bad=("promo",))})
     return linking.best_links(scored).select("uri", "qid", "label", F.round("confidence", 6).alias("confidence"))
