@@ -6,15 +6,16 @@ and get back its count in all; nothing per token of a document is shuffled.
 
 Model. The lower-cased text's bytes, and a final 0, are coded by a fixed binary code (short for
 common letters). Each binary decision is predicted by one predictor for each order: the counts of both
-outcomes, over all training documents, in a table slot that hashes the last 2, 3 or 5 bytes
-and the place in the code. Stretched predictions are mixed with weights chosen by a gate, the
+outcomes, over all training documents, after the last 2, 3 or 5 bytes at the place in the code. Stretched predictions are mixed with weights chosen by a gate, the
 highest order that has seen the context, and the mixed one is refined by an adaptive map (slope and
 offset per gate). Weights and map start from fixed values in each document and learn online from
 it: every block of bytes is scored before it is learnt from, so the product of all
 decisions' probabilities is the text's probability. Blocks double from 512 bytes.
 
-The tables have fixed sizes (one byte a slot, 3.3 MB as a whole), so the model can be broadcast whatever the
-corpus; its counts, and the base counts, cover all training documents.
+Counts are kept for every distinct context, under exact keys, so no two contexts share one and
+the model grows with the training documents. Contexts live in buckets as the tokens do: a chunk
+sends each distinct context and next byte once, with its count, and gets back the
+predictions on that byte's path. Nothing of the model is broadcast or sent to the driver.
 
 Defined results: a null text is empty (one token, its end). A null doc_id has no crc32; it is a training
 document. Repeated rows count, and are scored, each. An empty table gives an empty table;
@@ -31,15 +32,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, answer, ask, bucket_of, encode, materialize, meet, n_buckets, plan_bytes, split_by, unpack, write_chunks
+from .common import Hashes, answer, ask, bucket_of, encode, materialize, meet, n_buckets, split_by, unpack, write_chunks
 
 ORDERS = (2, 3, 5)
+#: Of the table that log10_probability reads; score_documents keeps exact contexts instead.
 BITS = (18, 20, 21)
-RANGE_BITS = 16
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 FIRST_BLOCK = 512
@@ -114,40 +114,75 @@ SIZE = sum(1 << b for b in BITS)
 
 
 # ---------------------------------------------------------------- training
-def train(chunks: DataFrame) -> np.ndarray:
-    """Stretched predictions of all slots, from the training documents of all chunks.
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of all elements of the ranges, range by range."""
+    total = int(size.sum())
+    return np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
-    Tasks add up tables of fixed size and send them in ranges; the sums are taken in two
-    steps, each streaming. The driver receives the summed ranges, SIZE slots in all.
+
+class Runs:
+    """The distinct (order, context, next byte) of a chunk's texts, as exact keys in ascending order.
+
+    at: for each order and byte of the texts, laid end to end, the index of its key. n: counts in training texts.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, SIZE), np.int64)
-        for batch in batches:
-            for blob in batch["blob"]:
-                rows = unpack(blob.as_buffer())
-                raw = b"".join(b"\0" * 5 + encode(t).lower() + b"\0" for i, t in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True) if not held_out(i))
-                if raw:
-                    _count(raw, table)
-        yield from _send(table, TaskContext.get().partitionId() % 32)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for r, s, p in zip(batch["range"].to_pylist(), batch["part"].to_pylist(), batch["payload"], strict=True):
-                counts = np.frombuffer(zstandard.decompress(p.as_py()), np.int64)
-                held[r, s] = held[r, s] + counts if (r, s) in held else counts
-        for (r, s), counts in held.items():
-            yield _range_row(r, s, counts)
-
-    schema = "range int, part int, payload binary"
-    tasks = max(16, plan_bytes(chunks) // (4 << 20))
-    parts = chunks.coalesce(tasks).mapInArrow(count, schema)
-    parts = parts.repartition("range", "part").mapInArrow(add, schema).withColumn("part", F.lit(0))
-    table = np.zeros((SIZE >> RANGE_BITS, 2, 1 << RANGE_BITS), np.int64)
-    for row in parts.repartition("range").mapInArrow(add, schema).toLocalIterator():
-        table[row["range"]] = np.frombuffer(zstandard.decompress(row["payload"]), np.int64).reshape(2, -1)
-    return stretched(table[:, 0].reshape(-1), table[:, 1].reshape(-1))
+    def __init__(self, texts: list[bytes], trains: list[bool]):
+        both = [contexts(t) for t in texts]
+        self.size = np.array([len(x) for x, _ in both], np.int64)
+        self.x = np.concatenate([x for x, _ in both])
+        runs, at = np.unique(np.concatenate([c for _, c in both]) << np.uint64(8) | self.x, return_inverse=True)
+        n = np.bincount(at[np.repeat(np.array(trains, bool), self.size)], minlength=len(runs))
+        keys, ns, self.at, base = [], [], [], 0
+        for tag, order in enumerate(ORDERS):
+            own, back = np.unique(runs & np.uint64(2 ** (8 * order + 8) - 1), return_inverse=True)
+            self.at.append(base + back[at])
+            keys.append(own | np.uint64(tag << 56))
+            ns.append(np.bincount(back, n, len(own)).astype(np.int64))
+            base += len(own)
+        self.key, self.n = np.concatenate(keys), np.concatenate(ns)
+
+    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """All bytes after one context meet in one bucket."""
+        return split_by(bucket_of(self.key >> np.uint64(8), buckets))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, first bytes first: near numbers compress better."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unplanes(p: bytes) -> np.ndarray:
+    return np.frombuffer(np.ascontiguousarray(np.frombuffer(zstandard.decompress(p), np.uint8).reshape(8, -1).T).tobytes(), np.uint64)
+
+
+def send_runs(runs: Runs, buckets: int) -> Iterable[tuple[int, bytes]]:
+    for bucket, at in runs.by_bucket(buckets):
+        keys = planes(np.diff(runs.key[at], prepend=np.uint64(0)))
+        yield bucket, np.uint32(len(keys)).tobytes() + keys + planes(runs.n[at])
+
+
+def predict(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
+    """For each chunk the stretched predictions on the paths of all bytes it sent, from the counts of all chunks."""
+    sent = []
+    for p in payloads:
+        m = int(np.frombuffer(p, np.uint32, 1)[0])
+        sent.append((np.cumsum(unplanes(p[4 : 4 + m])), unplanes(p[4 + m :]).astype(np.int64)))
+    keys, back = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, back, np.concatenate([c for _, c in sent]))
+    context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)
+    x = (keys & np.uint64(0xFF)).astype(np.uint8)
+    which, node, outcome = decisions(x)
+    _, place = np.unique(context[which] * 256 + node.astype(np.int64), return_inverse=True)
+    ones = np.bincount(place, n[which] * outcome)
+    value = stretched(np.bincount(place, n[which]) - ones, ones)[place]
+    length = code()[0][x]
+    begin = np.cumsum(length) - length
+    start = 0
+    for chunk, (own, _) in zip(ids, sent, strict=True):
+        mine = back[start : start + len(own)]
+        yield chunk, zstandard.compress(value[ragged(begin[mine], length[mine])].tobytes(), 1)
+        start += len(own)
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -157,43 +192,16 @@ def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return q
 
 
-def _count(raw: bytes, table: np.ndarray) -> None:
-    """Add texts, each after five 0 and before a final 0. Equal six-byte runs are counted together."""
-    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    runs = x[:-5].copy()
-    for j in range(1, 6):
-        runs = runs << np.uint64(8) | x[j : len(x) - 5 + j]
-    runs, n = np.unique(runs, return_counts=True, sorted=True)
-    real = ~((runs & np.uint64(0xFF) == 0) & (runs >> np.uint64(8) & np.uint64(0xFF) == 0))  # runs that end in the next text's five 0
-    runs, n = runs[real], n[real]
-    which, node, outcome = decisions((runs & np.uint64(0xFF)).astype(np.uint8))
-    weight = n[which]
-    for at in slots(runs >> np.uint64(8), which, node):
-        low = at.min() >> RANGE_BITS << RANGE_BITS
-        for y in (0, 1):
-            pick = outcome == bool(y)
-            found = np.bincount(at[pick] - low, weight[pick])
-            table[y, low : low + len(found)] += found.astype(np.int64)
-
-
-def _range_row(r: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    payload = zstandard.compress(np.ascontiguousarray(counts).tobytes(), 1)
-    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part], pa.int32()), pa.array([payload], pa.binary())], ["range", "part", "payload"])
-
-
-def _send(table: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-    for r in range(SIZE >> RANGE_BITS):
-        counts = table[:, r << RANGE_BITS : (r + 1) << RANGE_BITS]
-        if counts.any():
-            yield _range_row(r, part, counts)
-
-
 # ---------------------------------------------------------------- scoring
 def log10_probability(raw: bytes, model: np.ndarray) -> float:
-    """log10 of the probability of the lower-cased text and its end."""
+    """log10 of the probability of the lower-cased text and its end, with predictions from a table of SIZE slots."""
     x, c = contexts(raw)
     which, node, outcome = decisions(x)
-    seen = [model.take(at) for at in slots(c, which, node)]
+    return mixed(x, which, outcome, [model.take(at) for at in slots(c, which, node)])
+
+
+def mixed(x: np.ndarray, which: np.ndarray, outcome: np.ndarray, seen: list[np.ndarray]) -> float:
+    """log10 of the probability of the bytes x, from each order's stretched prediction of every decision."""
     gate = np.maximum(np.maximum((seen[0] != 0) * np.uint8(1), (seen[1] != 0) * np.uint8(2)), (seen[2] != 0) * np.uint8(3))
     # rows: the three predictions, the mixed one (filled in by block), 1
     t = np.empty((5, len(which)), np.float32)
@@ -226,6 +234,23 @@ def log10_probability(raw: bytes, model: np.ndarray) -> float:
     return -nats / float(np.log(10))
 
 
+def score_runs(runs: Runs, got: dict[int, bytes], buckets: int) -> list[float]:
+    """log10 of the probabilities of a chunk's texts, from the buckets' answers."""
+    length = code()[0][(runs.key & np.uint64(0xFF)).astype(np.uint8)]
+    begin = np.cumsum(length) - length
+    value = np.empty(int(length.sum()), np.int8)
+    for bucket, at in runs.by_bucket(buckets):
+        value[ragged(begin[at], length[at])] = np.frombuffer(zstandard.decompress(got[bucket]), np.int8)
+    out, a = [], 0
+    for size in runs.size.tolist():
+        x = runs.x[a : a + size]
+        which, _, outcome = decisions(x)
+        n = code()[0][x]
+        out.append(mixed(x, which, outcome, [value[ragged(begin[at[a : a + size]], n)] for at in runs.at]))
+        a += size
+    return out
+
+
 _END = b""  # no word is empty
 
 
@@ -280,7 +305,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = materialize(answer(ask(chunks, send), total), "token-counts")
     row = counts.where("chunk_id = -1").mapInArrow(sizes, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     v, n_all = int(row[0] or 0), int(row[1] or 0)
-    model = docs.sparkSession.sparkContext.broadcast(train(chunks))
+
+    def send_model(table: pa.Table) -> Iterable[tuple[int, bytes]]:
+        texts = [encode(t).lower() for t in table["text"].to_pylist()]
+        # numbered after the buckets of the tokens
+        return ((buckets + b, p) for b, p in send_runs(Runs(texts, [not held_out(i) for i in table["doc_id"].to_pylist()]), buckets))
+
+    model = answer(ask(chunks, send_model), predict)
 
     def score(chunk_id: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         texts, sizes, h = _tokens(table)
@@ -293,9 +324,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         base = np.add.reduceat(np.log10(own + 1.0), starts) - sizes * np.log10(n_all + v + 1.0)
         known = np.add.reduceat((own > 0).astype(np.int64), starts)
         ids = table["doc_id"].to_pylist()
-        scores = np.array([log10_probability(t, model.value) for t in texts])
+        runs = Runs(texts, [False] * len(texts))
+        scores = np.array(score_runs(runs, {b - buckets: p for b, p in got.items() if b >= buckets}, buckets))
         per_byte = -scores / np.log10(2) / np.array([len(t) + 1 for t in texts])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(ids), n_all), "base_score": base, "score": scores, "bits_per_byte": per_byte})
 
-    return meet(chunks, counts.where("chunk_id >= 0"), score, RESULT)
+    return meet(chunks, counts.where("chunk_id >= 0").unionByName(model), score, RESULT)
 
