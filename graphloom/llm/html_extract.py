@@ -2,7 +2,9 @@
 
 A tolerant parser builds the element tree. Elements that never are main text (scripts,
 styles, forms, navigation, page headers and footers, asides, and whatever bears a class, id
-or role that says advert, sidebar, notice, comments and the like) are cut first. For every
+or role that says advert, sidebar, notice, comments and the like) are cut first. A class or id
+alone doesn't cut what holds an <article> or <main>, bears a kept word (post, content) as a class
+of its own, or has more than half of the page's text; there the density decides. For every
 remaining node the composite density is
 
     CTD = C / T * log((C / LC) * (T / LT)) / log(log(C / (C - LC) * LC + LCb / Cb * C + e))
@@ -63,36 +65,70 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 class Node:
     __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "ctd", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
+    def __init__(self, tag: str, parent: Node | None, cut: int):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.ctd = self.sum = 0.0
 
 
-def _cut(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element never is main text. inside: it stands in an article."""
+#: An element that is cut by its class or id alone: ``_spare`` looks at what it holds.
+NAMED = 2
+
+
+def _cut(tag: str, attrs: str, inside: bool) -> int:
+    """Whether an element never is main text: 0, 1 or NAMED. inside: it stands in an article."""
     if tag in CUT or tag == "header" and not inside:
-        return True
+        return 1
     if tag in ("html", "body") or not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
     names: set[str] = set()
+    own: set[str] = set()
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
             names.update(x.lower() for x in _NAME.findall(value))
+            own.update(value.lower().split())
         elif key == "role" and value.lower() in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 1
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 1
     found = names & CUT_WORDS
     if tag in ("main", "article"):
-        return bool(found & {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"})
-    return bool(found) and not (found <= {"header"} and names & KEEP_WORDS)
+        return NAMED if found & {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"} else 0
+    if not found or found <= {"header"} and names & KEEP_WORDS or own & KEEP_WORDS and not own & CUT_WORDS:
+        return 0
+    return NAMED
+
+
+def _spare(root: Node) -> None:
+    """Keep elements cut by name that hold an <article> or <main>, or more than half of the text that tags don't cut.
+
+    What stays cut within an element counts for neither.
+    """
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [x for x in node.children if isinstance(x, Node) and x.cut in (0, NAMED)]
+    if all(x.cut != NAMED for x in nodes):
+        return
+    size = {id(x): sum(len("".join(t.split())) for t in x.children if isinstance(t, str)) for x in nodes}
+    half = sum(size.values()) / 2
+    main: set[int] = set()
+    for node in reversed(nodes):
+        if node.cut == NAMED:
+            if id(node) not in main and size[id(node)] <= half:
+                continue
+            node.cut = 0
+        if node.parent is not None:
+            size[id(node.parent)] += size[id(node)]
+            if node.tag in ("article", "main") or id(node) in main:
+                main.add(id(node.parent))
 
 
 def parse(page: str) -> Node:
-    root = body = Node("body", None, False)
+    root = body = Node("body", None, 0)
     at, inside, pos, n = body, 0, 0, len(page)
     while pos < n:
         m = _TOKEN.match(page, pos)
@@ -115,7 +151,7 @@ def parse(page: str) -> Node:
                     inside -= at.tag == "article"
                     at = at.parent
             elif tag in ("br", "p"):
-                at.children.append(Node("br", at, False))
+                at.children.append(Node("br", at, 0))
             continue
         if tag in ("html", "body"):
             while at is not root:  # a body ends an unclosed head
@@ -139,11 +175,12 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, pos)
-            node.cut = True
+            node.cut = 1
             pos = end.end()
         elif tag not in VOID and not (attrs.rstrip().endswith("/") and tag in ("svg", "path")):
             at = node
             inside += tag == "article"
+    _spare(root)
     return root
 
 
