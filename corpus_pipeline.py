@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize
 from graphloom.llm.decontaminate import drop_contaminated
-from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.line_dedup import RECURRING, dedup_lines
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.near_dedup import drop_near_duplicates
 from graphloom.llm.quality_rules import quality_rules
@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of which no line is left go."""
-    return dedup_lines(docs).where("n_dropped = 0 or n_lines > n_dropped").select(docs.columns)
+    return dedup_lines(docs, **RECURRING).where("n_dropped = 0 or n_lines > n_dropped").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ an index of blocks of tokens (some block of a similar line is unchanged), not by
 
 A template recurs if its lines stand in ``min_docs`` documents or more. Lines of a recurring
 template stay in the document of least doc_id that has one, and are dropped from all others. Lines of
-fewer than ``min_words`` words, blank ones too, always stay.
+fewer than ``min_words`` words have no templates: they recur if the same words (digits too)
+stand in ``short_docs`` documents or more, and always stay without it. Blank lines always stay.
 
-Each chunk of documents sends each distinct line once, with the least ``min_docs`` ids that have it,
-which is enough to count to ``min_docs`` exactly; so a line that a third of all rows hold
+Each chunk of documents sends each distinct line once, with the least ids that have it, as many as
+are counted to, which is enough to count to them exactly; so a line that a third of all rows hold
 costs one row a chunk. A task holds the distinct lines of one bucket of leaves.
 
 Defined results: a null text stays null and has no lines. A null doc_id comes after all
@@ -31,9 +32,13 @@ from pyspark.sql import DataFrame
 from .common import answer, ask, bucket_of, encode, meet, mix, n_buckets, write_chunks
 
 LEAD, ALIKE, MIN_DOCS, MIN_WORDS = 3, 0.7, 5, 3
+#: What the query and the pipeline take: lines recur from two documents on; short ones, which may
+#: agree by chance, from five.
+RECURRING = {"min_docs": 2, "short_docs": 5}
 VARIABLE = 0
 _LAST = np.iinfo(np.int64).max  # the place of a null doc_id
 _DIGIT = bytes(range(48, 58))
+_EXACT = bytes.maketrans(_DIGIT, bytes(range(0xF6, 0x100)))  # bytes that UTF-8 doesn't have, so digits count
 
 
 class Tokens(dict):
@@ -50,7 +55,7 @@ class Tokens(dict):
 class Lines:
     """The lines of a chunk that are long enough: their tokens, documents and keys."""
 
-    def __init__(self, table: pa.Table, tokens: Tokens, min_words: int):
+    def __init__(self, table: pa.Table, tokens: Tokens, min_words: int, short: bool = False):
         ids = [_LAST if i is None else i for i in table["doc_id"].to_pylist()]
         self.raw = [None if t is None else encode(t).split(b"\n") for t in table["text"].to_pylist()]
         words: list[bytes] = []
@@ -58,8 +63,8 @@ class Lines:
         for d, lines in enumerate(self.raw):
             for i, line in enumerate(lines or ()):
                 own = line.split()
-                if len(own) >= min_words:
-                    words += own
+                if len(own) >= min_words or short and own:
+                    words += own if len(own) >= min_words else [w.translate(_EXACT) for w in own]
                     sizes.append(len(own))
                     docs.append(ids[d])
                     self.where.append((d, i))
@@ -156,7 +161,7 @@ class Leaf:
         return best
 
 
-def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: float) -> Iterable[tuple[int, bytes]]:
+def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: float, min_words: int = 0, short_docs: int = 0) -> Iterable[tuple[int, bytes]]:
     """For each chunk a bit for each line it sent (its template recurs), then for those the first id."""
     parts = [_read(p) for p in payloads]
     key, leaf, size, counts, ids, token = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -182,7 +187,7 @@ def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: fl
     n_docs = np.bincount(of_id[pair[fresh]], minlength=len(first))
     lead = np.full(len(first), _LAST)
     np.minimum.at(lead, of_id, ids)
-    again = n_docs[of_row] >= min_docs
+    again = n_docs[of_row] >= np.where(size < min_words, short_docs, min_docs)
     start = 0
     for chunk, part in zip(chunks, parts, strict=True):
         stop = start + len(part[0])
@@ -191,7 +196,7 @@ def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: fl
         start = stop
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, alike: float = ALIKE) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, alike: float = ALIKE, short_docs: int | None = None) -> DataFrame:
     """``docs``, all columns, with the kept lines as text, and n_lines, n_dropped (lines with words).
 
     A column n_chars follows the text. Columns called n_lines or n_dropped give way to the results'.
@@ -199,17 +204,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     chunks = write_chunks(docs.select(*[f"`{c}`" for c in columns]), [f"`{c}`" for c in columns])
     buckets = n_buckets(chunks)
+    short, most = short_docs is not None, max(min_docs, short_docs or 0)
 
     def send(table: pa.Table) -> Iterable[tuple[int, bytes]]:
-        return ((b, p) for b, _, p in _by_bucket(Lines(table, Tokens(), min_words), min_docs, buckets))
+        return ((b, p) for b, _, p in _by_bucket(Lines(table, Tokens(), min_words, short), most, buckets))
 
     def reduce(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
-        return recurring(ids, payloads, min_docs, alike)
+        return recurring(ids, payloads, min_docs, alike, min_words, short_docs or 0)
 
     def drop(chunk_id: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        lines = Lines(table, Tokens(), min_words)
+        lines = Lines(table, Tokens(), min_words, short)
         keep_in: dict[int, int] = {}  # key of a recurring line -> the document that keeps it
-        for bucket, keys, _ in _by_bucket(lines, min_docs, buckets):
+        for bucket, keys, _ in _by_bucket(lines, most, buckets):
             if bucket in got:
                 bits = np.unpackbits(np.frombuffer(got[bucket], np.uint8, (len(keys) + 7) // 8), count=len(keys)).astype(bool)
                 keep_in.update(zip(keys[bits].tolist(), np.frombuffer(got[bucket], np.int64, -1, (len(keys) + 7) // 8).tolist(), strict=True))

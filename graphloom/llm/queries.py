@@ -9,7 +9,7 @@ from . import sql
 from .decontaminate import find_contamination
 from .html_extract import extract_html
 from .license_scan import scan_licenses
-from .line_dedup import dedup_lines
+from .line_dedup import RECURRING, dedup_lines
 from .lm_score import score_documents
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -89,7 +89,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, text: what stays of each document."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **RECURRING).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def queries() -> dict:
