@@ -37,7 +37,7 @@ def _keys(names: DataFrame, threshold: float, own: bool) -> DataFrame:
 
     A ratio of ``threshold`` leaves at most (1 - threshold) * (n + m) characters unmatched in both
     names together; of one piece more than that, one is whole in the other name, moved by
-    no more than their difference in length. A name gives its own pieces under its length, or the
+    no more than the unmatched characters of one name: half of them and of the difference in length. A name gives its own pieces under its length, or the
     substrings that could be pieces of a name of each length within three of its own.
     """
     low, n = F.lower("name"), F.length("name")
@@ -46,7 +46,8 @@ def _keys(names: DataFrame, threshold: float, own: bool) -> DataFrame:
     begin, end = F.floor(F.col("j") * size / pieces).cast("int"), F.floor((F.col("j") + 1) * size / pieces).cast("int")
     df = names if own else names.withColumn("size", F.explode(F.sequence(F.greatest(n - 3, F.lit(1)), n + 3)))
     df = df.withColumn("pieces", pieces).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    shift = F.lit(0) if own else F.explode(F.sequence(F.lit(-3), F.lit(3)))
+    most = F.greatest(F.lit(3), F.floor(((1 - threshold) * (2 * size + 3) + 3) / 2).cast("int"))
+    shift = F.lit(0) if own else F.explode(F.sequence(-most, most))
     df = df.withColumn("shift", shift).withColumns({"at": begin + F.col("shift"), "length": end - begin}).where("at >= 0")
     piece = F.substring(low, F.col("at") + 1, F.col("length"))
     return df.select("entity_class", "name", size.alias("size") if own else "size", "j", piece.alias("piece")).where("length(piece) > 0").distinct()
