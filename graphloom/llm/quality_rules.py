@@ -18,6 +18,7 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, encode, mix, pieces, windows
+from .common import Hashes, encode, materialize, mix, pieces, windows
 
 BITS = 17
 FAMILIES = 3
@@ -101,24 +102,44 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_head(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, frequency: np.ndarray, steps: int = 50, l1: float = 0.0) -> Head | None:
-    """Fit on four of five rows, calibrate on the fifth. rows: (slots, values); frequency: what a row stands for."""
+Row = tuple[np.ndarray, np.ndarray]  # slots (int32) and values (float32)
+
+
+def blocks(rows: list[Row], most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows a..b with about ``most`` values: a, b, the row (from a) of each value, slots, values."""
+    a = n = 0
+    for b, row in enumerate(rows, 1):
+        n += len(row[0])
+        if n >= most or b == len(rows):
+            part = rows[a:b]
+            yield a, b, np.repeat(np.arange(b - a, dtype=np.int32), [len(r[0]) for r in part]), np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
+            a, n = b, 0
+
+
+def fit_head(rows: list[Row], y: np.ndarray, frequency: np.ndarray, steps: int = 50, l1: float = 0.0) -> Head | None:
+    """Fit on four of five rows, calibrate on the fifth. frequency: what a row stands for.
+
+    Gradients are summed over blocks of rows, so beside the rows themselves only one block is held.
+    """
     if len(set(y.tolist())) < 2:
         return None
-    slot = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    used, column = np.unique(slot, return_inverse=True)
+    size = FAMILIES << BITS
     held = np.arange(len(rows)) % 5 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)
     share = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
-    w, b = np.zeros(len(used)), 0.0
+    w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        z = np.bincount(row, w[column] * value, len(rows)) + b
-        err = share * (_sigmoid(z) - y)
-        g, gb = np.bincount(column, err[row] * value, len(used)) + 1e-5 * w, err.sum()
+    raw = np.zeros(len(rows))
+    for t in range(1, steps + 2):
+        g, gb = 1e-5 * w, 0.0
+        for start, stop, row, slot, value in blocks(rows):
+            raw[start:stop] = np.bincount(row, w[slot] * value, stop - start)
+            err = share[start:stop] * (_sigmoid(raw[start:stop] + b) - y[start:stop])
+            g += np.bincount(slot, err[row] * value, size)
+            gb += err.sum()
+        if t > steps:  # the last pass is for raw
+            break
         if l1:  # a slope under l1 doesn't move a weight away from 0
             g = np.where(w != 0, g + l1 * np.sign(w), np.sign(g) * np.maximum(np.abs(g) - l1, 0))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -128,12 +149,9 @@ def fit_head(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, frequency
         if l1:
             w[was * w < 0] = 0
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-    raw = np.bincount(row, w[column] * value, len(rows))
     on = held if held.any() else ~held
     a, c = _platt(raw[on] + b, y[on], frequency[on])
-    weights = np.zeros(FAMILIES << BITS, np.float32)
-    weights[used] = w
-    return Head(weights, a, c + a * b)
+    return Head(w.astype(np.float32), a, c + a * b)
 
 
 def _platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -168,17 +186,23 @@ def sample_labels(labels: DataFrame, per_class: int) -> DataFrame:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> tuple[Head | None, Head | None]:
-    """The quality and the toxicity head. What reaches the driver is bounded by ``per_class``."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_bytes: int = 256 << 20) -> tuple[Head | None, Head | None]:
+    """The quality and the toxicity head, fitted by one executor task.
+
+    The sample is bounded twice: ``per_class`` rows of a class, and of these, in the order of a hash, so many that
+    their features take up ``sample_bytes``. Features are a written table; the task keeps them as they are read,
+    32 bits a number, and the driver gets the two heads' weights, whose size is fixed.
+    """
     sample = sample_labels(labels, per_class)
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.select("text", "quality", "toxic", "stands_for", F.xxhash64("doc_id").alias("turn"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             for held in pieces([batch], "text"):
                 part = pa.Table.from_batches(held)
-                out = {c: part[c] for c in ("doc_id", "quality", "toxic", "stands_for")}
+                out = {c: part[c] for c in ("turn", "quality", "toxic", "stands_for")}
                 cells: dict[str, list[bytes]] = {"q_slots": [], "q_values": [], "t_slots": [], "t_values": []}
                 for text in part["text"].to_pylist():
                     raw = encode(text)
@@ -188,17 +212,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> tuple[He
                         cells[f"{head}_values"].append(np.bincount(back, values, len(used)).astype(np.float32).tobytes())
                 yield from pa.table(out | {c: pa.array(x, pa.binary()) for c, x in cells.items()}).to_batches()
 
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, quality int, toxic int, stands_for double, q_slots binary, q_values binary, t_slots binary, t_values binary"
-    got = rows.mapInArrow(run, schema).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["toxic"], r["q_slots"]))
-    if not got:
-        return None, None
-    weight = np.array([r["stands_for"] for r in got])
-    heads = []
-    for label, head, l1 in (("quality", "q", 0.0), ("toxic", "t", 6e-3)):
-        data = [(np.frombuffer(r[f"{head}_slots"], np.int32), np.frombuffer(r[f"{head}_values"], np.float32)) for r in got]
-        heads.append(fit_head(data, np.array([int(r[label] == 1) for r in got]), weight, l1=l1))
-    return tuple(heads)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("quality", "toxic", "stands_for")
+        known: dict[str, list] = {c: [] for c in names}
+        features: dict[str, list[Row]] = {"q": [], "t": []}
+        taken = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = {c: batch[c][i].as_py() for c in batch.schema.names}
+                taken += sum(len(cells[f"{h}_{k}"]) for h in "qt" for k in ("slots", "values"))
+                if taken > sample_bytes:
+                    continue
+                for c in names:
+                    known[c].append(cells[c])
+                for h in "qt":
+                    features[h].append((np.frombuffer(cells[f"{h}_slots"], np.int32), np.frombuffer(cells[f"{h}_values"], np.float32)))
+        weight = np.array(known["stands_for"])
+        heads = [fit_head(features[h], np.array([int(x == 1) for x in known[label]]), weight, l1=l1) for label, h, l1 in (("quality", "q", 0.0), ("toxic", "t", 6e-3))]
+        yield pa.RecordBatch.from_pydict({"heads": pa.array([pickle.dumps([h and (h.weights.tobytes(), h.slope, h.offset) for h in heads])], pa.binary())})
+
+    schema = "turn long, quality int, toxic int, stands_for double, q_slots binary, q_values binary, t_slots binary, t_values binary"
+    table = materialize(rows.mapInArrow(run, schema), "features")
+    one = table.repartition(1).sortWithinPartitions("turn", "quality", "toxic", "stands_for", F.xxhash64("q_slots", "t_slots"))
+    got = one.mapInArrow(fit, "heads binary").first()
+    return tuple(h and Head(np.frombuffer(h[0], np.float32), h[1], h[2]) for h in (pickle.loads(got["heads"]) if got else (None, None)))
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_quality double, p_toxic double"
