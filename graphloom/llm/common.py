@@ -127,18 +127,20 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYT
         yield held
 
 
-def write_chunks(docs: DataFrame, columns: list[str], size: int = CHUNK_BYTES) -> DataFrame:
+def write_chunks(docs: DataFrame, columns: list[str], size: int = CHUNK_BYTES, note: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
     """A written table (chunk_id, blob): the rows of ``docs`` in packs of about ``size`` bytes of text.
 
     A very long text is a pack of its own. ``unpack(blob)`` gives the rows as an Arrow table.
+    ``note`` adds a column of that name with what it says of a pack's rows.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, held in enumerate(pieces(batches, "text", size)):
-            yield pa.RecordBatch.from_pydict({"chunk_id": [first + i], "blob": pa.array([_pack(held)], pa.binary())})
+            more = {"note": pa.array([note(pa.Table.from_batches(held))], pa.binary())} if note else {}
+            yield pa.RecordBatch.from_pydict({"chunk_id": [first + i], "blob": pa.array([_pack(held)], pa.binary())} | more)
 
-    return materialize(docs.select(*columns).mapInArrow(pack, "chunk_id long, blob binary"), "chunks")
+    return materialize(docs.select(*columns).mapInArrow(pack, "chunk_id long, blob binary" + ", note binary" * bool(note)), "chunks")
 
 
 REQUEST = "bucket long, chunk_id long, payload binary"

@@ -4,22 +4,25 @@ Base. Tokens are the words of the lower-cased (A-Z) text and one end a text. Chu
 send each distinct token once, with its count in their training documents, to its bucket
 and get back its count in all; nothing per token of a document is shuffled.
 
-Model. The lower-cased text's bytes, and a final 0, are coded by a fixed binary code (short for
-common letters). Each binary decision is predicted by one predictor for each order: the counts of both
-outcomes, over all training documents, after the last 2, 3 or 5 bytes at the place in the code. Stretched predictions are mixed with weights chosen by a gate, the
-highest order that has seen the context, and the mixed one is refined by an adaptive map (slope and
-offset per gate). Weights and map start from fixed values in each document and learn online from
-it: every block of bytes is scored before it is learnt from, so the product of all
-decisions' probabilities is the text's probability. Blocks double from 512 bytes.
+Model. The lower-cased text's bytes, and a final 0, are coded by binary codes, one for each byte
+before (Huffman codes of the training documents' byte pairs). Each binary decision is predicted by several
+predictors, one for each order: the counts of both outcomes, over all training documents, after the last
+2, 4 or 6 bytes at the place in the code. Stretched predictions, which grow with their counts, are mixed with weights
+chosen by a gate (the highest order that has seen the context, and how sure it is), and the mixed one
+is refined by an adaptive map (an offset by gate). Weights and map start
+from fixed values in each document and learn online from it: every block is scored before it is learnt
+from, so the product of all decisions' probabilities is the text's probability. The first block is
+``BLOCK`` bytes, and none is longer than that or a ``SHARE``-th of the text before it.
 
 Counts are kept for every distinct context, under exact keys, so no two contexts share one and
 the model grows with the training documents. Contexts live in buckets as the tokens do: a chunk
 sends each distinct context and next byte once, with its count, and gets back the
-predictions on that byte's path. Nothing of the model is broadcast or sent to the driver.
+predictions on that byte's path. Nothing of the model but the codes of byte pairs (a fixed size) is
+broadcast or sent to the driver. Within a chunk the texts are gone through in pieces, a long text in several.
 
 Defined results: a null text is empty (one token, its end). A null doc_id has no crc32; it is a training
 document. Repeated rows count, and are scored, each. An empty table gives an empty table;
-other columns are ignored. Very long texts are chunks of their own.
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,123 +30,163 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, answer, ask, bucket_of, encode, materialize, meet, n_buckets, split_by, unpack, write_chunks
+from .common import answer, ask, bucket_of, encode, materialize, meet, mix, n_buckets, split_by, write_chunks
 
-ORDERS = (2, 3, 5)
-#: Of the table that log10_probability reads; score_documents keeps exact contexts instead.
-BITS = (18, 20, 21)
-_A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
-FIRST_BLOCK = 512
-#: Mixing weights that a document starts with, by gate and order.
-WEIGHTS = np.array([[0.3, 0.3, 0.3], [1.0, 0.1, 0.1], [0.4, 0.7, 0.1], [0.2, 0.5, 0.5]], np.float32)
+ORDERS = (2, 4, 6)
+LAST = max(ORDERS)
+CHUNK, PIECE = 16 << 20, 1 << 19
+BLOCK, SHARE = 32, 16
+#: Gates: highest order seen (0: none), three ranges of how sure it is.
+GATES = 3 * (len(ORDERS) + 1)
+START, RATE, STEADY = 0.33, 0.02, 0.05
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-# ---------------------------------------------------------------- the code of bytes
-@lru_cache(1)
-def code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each byte: length and beginning of its path; of all paths: nodes and outcomes."""
-    weight = {b: 0.1 for b in range(256)}
-    weight |= {b: 2.0 for b in range(0x80, 0xC0)} | {b: 0.5 for b in range(0xC2, 0xF5)} | {0xC3: 40.0}
-    weight |= {ord(c): 120 * 0.88**i for i, c in enumerate("etaonirshdlucmpfgywbvkxjqz")}
-    weight |= {ord(c): 3.0 for c in "0123456789\n"} | {ord(" "): 190.0, ord("."): 12.0, ord(","): 12.0}
-    heap = [(w, b, b) for b, w in weight.items()]
-    heapq.heapify(heap)
-    tree: dict[int, tuple[int, int]] = {}
-    while len(heap) > 1:
-        (u, _, a), (v, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        tree[256 + len(tree)] = (a, b)
-        heapq.heappush(heap, (u + v, 255 + len(tree), 255 + len(tree)))
-    paths: dict[int, list[tuple[int, int]]] = {}
-    todo: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
-    while todo:
-        x, path = todo.pop()
-        if x < 256:
-            paths[x] = path
-        else:
-            todo += [(y, [*path, (x - 256, bit)]) for bit, y in enumerate(tree[x])]
-    length = np.array([len(paths[b]) for b in range(256)], np.int64)
-    flat = [p for b in range(256) for p in paths[b]]
-    return length, np.cumsum(length) - length, np.array([p[0] for p in flat], np.uint64), np.array([p[1] for p in flat], bool)
-
-
-def decisions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the bytes x: index of the byte, node and outcome of every decision."""
-    length, begin, nodes, outcomes = code()
-    n = length[x]
-    which = np.repeat(np.arange(len(x)), n)
-    at = np.arange(len(which)) + np.repeat(begin[x] - (np.cumsum(n) - n), n)
-    return which, nodes[at], outcomes[at]
-
-
-def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes with the final 0, and before each the last five as a number, the latest lowest."""
-    x = np.frombuffer(b"\0" * 5 + raw + b"\0", np.uint8)
-    wide = x.astype(np.uint64)
-    c = wide[:-5].copy()
-    for j in range(1, 5):
-        c = c << np.uint64(8) | wide[j : len(x) - 5 + j]
-    return x[5:], c
-
-
-def slots(context: np.ndarray, which: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-    """For each order the table slot of every decision."""
-    out, base = [], 0
-    turned = node * _B
-    for order, bits, a in zip(ORDERS, BITS, _A, strict=True):
-        h = ((context & np.uint64(2 ** (8 * order) - 1)) + np.uint64(order)) * a
-        h ^= h >> np.uint64(29)
-        out.append((((h[which] + turned) * _C) >> np.uint64(64 - bits)).astype(np.int64) + base)
-        base += 1 << bits
-    return out
-
-
-SIZE = sum(1 << b for b in BITS)
-
-
-# ---------------------------------------------------------------- training
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indexes of all elements of the ranges, range by range."""
-    total = int(size.sum())
-    return np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-class Runs:
-    """The distinct (order, context, next byte) of a chunk's texts, as exact keys in ascending order.
+# ---------------------------------------------------------------- the codes of bytes
+class Code:
+    """A binary code of the next byte for each byte before it, from counts of byte pairs (256 x 256).
 
-    at: for each order and byte of the texts, laid end to end, the index of its key. n: counts in training texts.
+    By pair (the byte before * 256 + the byte): length and beginning of its path; of all paths: nodes and outcomes.
     """
 
-    def __init__(self, texts: list[bytes], trains: list[bool]):
-        both = [contexts(t) for t in texts]
-        self.size = np.array([len(x) for x, _ in both], np.int64)
-        self.x = np.concatenate([x for x, _ in both])
-        runs, at = np.unique(np.concatenate([c for _, c in both]) << np.uint64(8) | self.x, return_inverse=True)
-        n = np.bincount(at[np.repeat(np.array(trains, bool), self.size)], minlength=len(runs))
-        keys, ns, self.at, base = [], [], [], 0
-        for tag, order in enumerate(ORDERS):
-            own, back = np.unique(runs & np.uint64(2 ** (8 * order + 8) - 1), return_inverse=True)
-            self.at.append(base + back[at])
-            keys.append(own | np.uint64(tag << 56))
-            ns.append(np.bincount(back, n, len(own)).astype(np.int64))
-            base += len(own)
-        self.key, self.n = np.concatenate(keys), np.concatenate(ns)
-
-    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """All bytes after one context meet in one bucket."""
-        return split_by(bucket_of(self.key >> np.uint64(8), buckets))
+    def __init__(self, pairs: np.ndarray):
+        alone = pairs.sum(0) + 1.0
+        alone /= alone.sum()
+        length, nodes, outcomes = [], [], []
+        for before in range(256):
+            weight = pairs[before] + 4 * alone + 1e-4
+            heap = [(w, b) for b, w in enumerate(weight.tolist())]
+            heapq.heapify(heap)
+            tree: list[tuple[int, int]] = []
+            while len(heap) > 1:
+                (u, a), (v, b) = heapq.heappop(heap), heapq.heappop(heap)
+                heapq.heappush(heap, (u + v, 256 + len(tree)))
+                tree.append((a, b))
+            paths: dict[int, tuple[list[int], list[bool]]] = {}
+            todo: list[tuple[int, list[int], list[bool]]] = [(heap[0][1], [], [])]
+            while todo:
+                at, n, o = todo.pop()
+                if at < 256:
+                    paths[at] = n, o
+                else:
+                    todo += [(child, [*n, at - 256], [*o, bit]) for bit, child in zip((False, True), tree[at - 256], strict=True)]
+            for b in range(256):
+                length.append(len(paths[b][0]))
+                nodes += paths[b][0]
+                outcomes += paths[b][1]
+        self.length, self.node, self.outcome = np.array(length), np.array(nodes, np.uint8), np.array(outcomes, bool)
+        self.begin = np.cumsum(self.length) - self.length
+
+
+def byte_pairs(texts: list[bytes]) -> np.ndarray:
+    """Counts of all pairs of neighbouring bytes; a 0 stands before and after each text."""
+    x = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8) if texts else np.zeros(0, np.uint8)
+    return np.bincount(x[:-1].astype(np.int32) * 256 + x[1:], minlength=1 << 16) if len(x) else np.zeros(1 << 16, np.int64)
+
+
+# ---------------------------------------------------------------- contexts
+def run_numbers(texts: list[bytes], before: bytes = b"", closed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes each text has with its end, and each byte with the six before it as a number, the latest lowest.
+
+    before: what stands before the text, if it is the later part of a longer one; closed: whether it ends here.
+    """
+    lead = before[-LAST:].rjust(LAST + 1, b"\0")
+    end = b"\0" if closed else b""
+    raw = b"".join(part for t in texts for part in (lead, t, end))
+    size = np.array([len(t) + closed for t in texts], np.int64)
+    wide = np.ndarray(max(0, len(raw) - 7), ">u8", raw, strides=(1,))  # eight bytes from each place on
+    own = ragged(np.cumsum(size + len(lead)) - size - 7, size)
+    return size, wide[own].astype(np.uint64) & np.uint64(2**56 - 1)
+
+
+def pieces_of(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, int, list[bytes], bytes, bool]]:
+    """Runs of texts of about ``most`` bytes: index of the first, where in it they begin (0, or later in a long one),
+    the texts, what stands before, whether they end here."""
+    held: list[bytes] = []
+    size = first = 0
+    for i, t in enumerate(texts):
+        if held and size + len(t) > most:
+            yield first, 0, held, b"", True
+            held, size = [], 0
+        if not held:
+            first = i
+        if len(t) > most:
+            for a in range(0, len(t), most):
+                yield i, a, [t[a : a + most]], t[max(0, a - LAST) : a], a + most >= len(t)
+            continue
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, 0, held, b"", True
+
+
+def all_runs(texts: list[bytes], trains: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of seven bytes of the texts, ascending, and how often each occurs in training texts.
+
+    Beside the result it holds eight bytes for each of the texts', sorted in place.
+    """
+    x = np.empty(sum(map(len, texts)) + len(texts), np.uint64)
+    a = 0
+    for i, _, part, before, closed in pieces_of(texts):
+        size, wide = run_numbers(part, before, closed)
+        own = x[a : a + len(wide)]
+        np.left_shift(wide, np.uint64(1), out=own)
+        if trains is not None:
+            own |= np.repeat(np.array([not y for y in trains[i : i + len(part)]], np.uint64), size)
+        a += len(wide)
+    x.sort()
+    new = [np.flatnonzero(np.append(not a, x[a + 1 : a + PIECE] >> np.uint64(1) != x[a : a + PIECE - 1][: len(x) - a - 1] >> np.uint64(1))) + a for a in range(0, len(x), PIECE)]
+    for k, a in enumerate(range(PIECE, len(x), PIECE), 1):  # a part's first may be new as well
+        if x[a] >> np.uint64(1) != x[a - 1] >> np.uint64(1):
+            new[k] = np.append(a, new[k])
+    first = np.concatenate(new) if new else np.zeros(0, np.int64)
+    runs = x[first] >> np.uint64(1)
+    x &= np.uint64(1)
+    n = np.diff(np.append(first, len(x))) - (np.add.reduceat(x, first).astype(np.int64) if len(first) else 0)
+    return runs, n
+
+
+def keys_of(runs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct (order, context, next byte) of the runs, as exact ascending keys, and by order each run's key."""
+    keys, at, base = [], [], 0
+    for tag, order in enumerate(ORDERS):
+        own, back = np.unique(runs & np.uint64(2 ** (8 * order + 8) - 1), return_inverse=True) if order < LAST else (runs, np.arange(len(runs)))
+        keys.append(own | np.uint64(tag << 56))
+        at.append((base + back).astype(np.int32))
+        base += len(own)
+    return np.concatenate(keys), at
+
+
+def counted_keys(texts: list[bytes], trains: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct keys, ascending, and their counts in its training texts."""
+    runs, count = all_runs(texts, trains)
+    keys, at = keys_of(runs)
+    out = np.zeros(len(keys), np.int64)
+    for own in at:
+        out += np.bincount(own, count, len(keys)).astype(np.int64)
+    return keys, out
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """All bytes after one context meet in one bucket."""
+    return split_by(bucket_of(keys >> np.uint64(8), buckets))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -155,28 +198,28 @@ def unplanes(p: bytes) -> np.ndarray:
     return np.frombuffer(np.ascontiguousarray(np.frombuffer(zstandard.decompress(p), np.uint8).reshape(8, -1).T).tobytes(), np.uint64)
 
 
-def send_runs(runs: Runs, buckets: int) -> Iterable[tuple[int, bytes]]:
-    for bucket, at in runs.by_bucket(buckets):
-        keys = planes(np.diff(runs.key[at], prepend=np.uint64(0)))
-        yield bucket, np.uint32(len(keys)).tobytes() + keys + planes(runs.n[at])
+def send_runs(keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterable[tuple[int, bytes]]:
+    for bucket, at in by_bucket(keys, buckets):
+        packed = planes(np.diff(keys[at], prepend=np.uint64(0)))
+        yield bucket, np.uint32(len(packed)).tobytes() + packed + planes(n[at])
 
 
-def predict(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
+def predict(code: Code, ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
     """For each chunk the stretched predictions on the paths of all bytes it sent, from the counts of all chunks."""
     sent = []
     for p in payloads:
         m = int(np.frombuffer(p, np.uint32, 1)[0])
         sent.append((np.cumsum(unplanes(p[4 : 4 + m])), unplanes(p[4 + m :]).astype(np.int64)))
     keys, back = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
-    n = np.zeros(len(keys), np.int64)
-    np.add.at(n, back, np.concatenate([c for _, c in sent]))
+    n = np.bincount(back, np.concatenate([c for _, c in sent]), len(keys)).astype(np.int64)
     context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)
-    x = (keys & np.uint64(0xFF)).astype(np.uint8)
-    which, node, outcome = decisions(x)
-    _, place = np.unique(context[which] * 256 + node.astype(np.int64), return_inverse=True)
-    ones = np.bincount(place, n[which] * outcome)
-    value = stretched(np.bincount(place, n[which]) - ones, ones)[place]
-    length = code()[0][x]
+    pair = (keys & np.uint64(0xFFFF)).astype(np.int32)  # the context's last byte is its lowest
+    length = code.length[pair]
+    at = ragged(code.begin[pair], length)
+    which = np.repeat(np.arange(len(keys)), length)
+    place, found = pd.factorize(context[which] * 256 + code.node[at])
+    ones = np.bincount(place, n[which] * code.outcome[at], len(found))
+    value = stretched(np.bincount(place, n[which], len(found)) - ones, ones)[place]
     begin = np.cumsum(length) - length
     start = 0
     for chunk, (own, _) in zip(ids, sent, strict=True):
@@ -193,95 +236,200 @@ def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- scoring
-def log10_probability(raw: bytes, model: np.ndarray) -> float:
-    """log10 of the probability of the lower-cased text and its end, with predictions from a table of SIZE slots."""
-    x, c = contexts(raw)
-    which, node, outcome = decisions(x)
-    return mixed(x, which, outcome, [model.take(at) for at in slots(c, which, node)])
-
-
-def mixed(x: np.ndarray, which: np.ndarray, outcome: np.ndarray, seen: list[np.ndarray]) -> float:
-    """log10 of the probability of the bytes x, from each order's stretched prediction of every decision."""
-    gate = np.maximum(np.maximum((seen[0] != 0) * np.uint8(1), (seen[1] != 0) * np.uint8(2)), (seen[2] != 0) * np.uint8(3))
-    # rows: the three predictions, the mixed one (filled in by block), 1
-    t = np.empty((5, len(which)), np.float32)
-    for o in range(3):
-        np.multiply(seen[o], np.float32(1 / 16), out=t[o])
-    t[4] = 1
-    sign = outcome.astype(np.float32) * 2 - 1
-    w, slope, offset = WEIGHTS.T.copy(), np.ones(4, np.float32), np.zeros(4, np.float32)
-    ends = np.cumsum(code()[0][x])
-    nats, a, size, begin = 0.0, 0, FIRST_BLOCK, 0
-    while a < len(which):
-        begin = min(len(x), begin + size)
-        b = int(ends[begin - 1])
-        size *= 2
-        g, y, own = gate[a:b].astype(np.intp), sign[a:b], t[:, a:b]
-        z = own[0] * w[0].take(g)
-        z += own[1] * w[1].take(g)
-        z += own[2] * w[2].take(g)
-        own[3] = np.clip(z, -12, 12, out=z)
-        e = np.exp(-y * (slope.take(g) * z + offset.take(g)))
-        nats += float(np.log(1 + e).sum(dtype=np.float64))
-        a = b
-        if a < len(which):  # learn from the block, after it is scored
-            err = y * (e / (1 + e))
-            by_gate = np.stack([(g == k).astype(np.float32) for k in range(4)])
-            slopes = own @ (by_gate * err).T / (by_gate.sum(1) + 1)
-            w += np.float32(0.02) * slopes[:3]
-            slope += np.float32(0.02) * slopes[3]
-            offset += np.float32(0.2) * slopes[4]
-    return -nats / float(np.log(10))
-
-
-def score_runs(runs: Runs, got: dict[int, bytes], buckets: int) -> list[float]:
-    """log10 of the probabilities of a chunk's texts, from the buckets' answers."""
-    length = code()[0][(runs.key & np.uint64(0xFF)).astype(np.uint8)]
-    begin = np.cumsum(length) - length
-    value = np.empty(int(length.sum()), np.int8)
-    for bucket, at in runs.by_bucket(buckets):
-        value[ragged(begin[at], length[at])] = np.frombuffer(zstandard.decompress(got[bucket]), np.int8)
-    out, a = [], 0
-    for size in runs.size.tolist():
-        x = runs.x[a : a + size]
-        which, _, outcome = decisions(x)
-        n = code()[0][x]
-        out.append(mixed(x, which, outcome, [value[ragged(begin[at[a : a + size]], n)] for at in runs.at]))
-        a += size
-    return out
-
-
-_END = b""  # no word is empty
-
-
-def _tokens(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Lower-cased texts, tokens of each, hashes of all tokens."""
-    texts = [encode(t).lower() for t in table["text"].to_pylist()]
-    words: list[bytes] = []
-    sizes = []
-    for t in texts:
-        own = t.split()
-        words += own
-        words.append(_END)
-        sizes.append(len(own) + 1)
-    return texts, np.array(sizes, np.int64), Hashes().of(words)
+def packed(code: Code, runs: np.ndarray, at: list[np.ndarray], begin: np.ndarray, value: np.ndarray, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: number and beginning of its decisions; of each decision four numbers in a word: the predictions, gate and outcome.
+
+    ``most`` runs are worked on at a time.
+    """
+    pair = (runs & np.uint64(0xFFFF)).astype(np.int32)
+    length = code.length.take(pair)
+    first = np.cumsum(length) - length
+    out = np.empty((int(length.sum()), 4), np.int8)
+    for a in range(0, len(runs), most):
+        own = slice(a, a + most)
+        which = np.repeat(np.arange(len(length[own])), length[own])
+        step = np.arange(len(which)) - (first[own] - first[a]).take(which)
+        part = out[first[a] : first[a] + len(which)]
+        gate, sure = np.zeros(len(which), np.int8), np.zeros(len(which), np.int8)
+        for o, keys in enumerate(at):
+            seen = value.take(begin.take(keys[own]).take(which) + step)
+            part[:, o] = seen
+            there = seen != 0
+            gate[there] = 3 * (o + 1)
+            np.copyto(sure, seen, where=there)
+        np.abs(sure, out=sure)
+        gate += (sure > 24).view(np.int8) + (sure > 56).view(np.int8)
+        part[:, 3] = gate * 2 + code.outcome.take(code.begin.take(pair[own]).take(which) + step)
+    return length.astype(np.int32), first.astype(np.int32 if len(out) < 2**31 else np.int64), out.view(np.uint32).ravel()
+
+
+class Mixer:
+    """Weights and map of some documents, each its own, and where in its text each stands."""
+
+    def __init__(self, n: int):
+        self.weights = np.full((len(ORDERS), n * GATES), START / 16, np.float32)  # predictions are in sixteenths
+        self.map = np.zeros(n * GATES, np.float32)
+        self.done = 0
+
+    def nats(self, size: np.ndarray, length: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of each text minus log its probability.
+
+        size: the texts' bytes. length, first: number and beginning of each byte's decisions in ``words`` (see ``packed``).
+        All texts' first blocks are scored and learnt from, then their second ones, and so on.
+        """
+        n = len(size)
+        bounds = [0]
+        while bounds[-1] < self.done + int(size.max()):
+            bounds.append(bounds[-1] + max(BLOCK, bounds[-1] // SHARE))
+        byte = ragged(np.zeros(n, np.int64), size) + self.done
+        block = np.searchsorted(np.array(bounds), byte, "right").astype(np.int16)
+        order = np.argsort(block, kind="stable")
+        length = length.take(order)
+        ends = np.cumsum(length)
+        cuts = np.append(np.flatnonzero(np.diff(block.take(order), prepend=0)), len(order))
+        blocks = np.diff(np.array(bounds))[block.take(order)[cuts[:-1]] - 1]
+        cuts = np.append(0, ends)[cuts]
+        which = np.repeat(np.arange(len(order)), length)
+        all_ = words.take((first.take(order) - (ends - length)).take(which) + np.arange(len(which)))
+        doc = np.repeat(np.arange(n), size).take(order).take(which)
+        cell = (all_.view(np.int8)[3::4] >> 1) + doc * GATES
+        loss = np.empty(len(which), np.float32)
+        for a, b, bytes_ in zip(cuts[:-1].tolist(), cuts[1:].tolist(), blocks.tolist(), strict=True):
+            four, g = all_[a:b].view(np.int8).reshape(-1, 4), cell[a:b]
+            t = [four[:, o].astype(np.float32) for o in range(len(ORDERS))]
+            y = ((four[:, 3] & 1) * np.int8(2) - np.int8(1)).astype(np.float32)
+            z = t[0] * self.weights[0].take(g)
+            for x, w in zip(t[1:], self.weights[1:], strict=True):
+                z += x * w.take(g)
+            np.clip(z, -8, 8, out=z)
+            z += self.map.take(g)
+            z *= y
+            e = np.exp(np.negative(z, out=z), out=z)
+            np.log1p(e, out=loss[a:b])
+            e /= 1 + e
+            e *= y  # the error: outcome minus probability
+            # learn from the block, after it is scored; the more decisions a step sums, the smaller it is
+            rate = RATE / (1 + STEADY * bytes_)
+            for x, w in zip(t, self.weights, strict=True):
+                w += (rate / 256 * np.bincount(g, e * x, n * GATES)).astype(np.float32)
+            self.map += (rate * np.bincount(g, e, n * GATES)).astype(np.float32)
+        self.done += int(size.max())
+        return np.bincount(doc, loss, n)
+
+
+def log10_probabilities(code: Code, texts: list[bytes], runs: np.ndarray, decisions: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the probabilities of the lower-cased texts and their ends. runs: ``all_runs``; decisions: ``packed`` of them."""
+    length, first, words = decisions
+    out = np.zeros(len(texts))
+    mixer = Mixer(0)
+    for i, a, part, before, closed in pieces_of(texts):
+        if not a:
+            mixer = Mixer(len(part))
+        size, wide = run_numbers(part, before, closed)
+        back, found = pd.factorize(wide)
+        order = np.argsort(found)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.searchsorted(runs, found[order])
+        at = at.take(back)
+        out[i : i + len(part)] -= mixer.nats(size, length.take(at), first.take(at), words)
+    return out / float(np.log(10))
+
+
+_END = 0x9E3779B97F4A7C15  # as a word of no bytes
+
+
+def _lower(table: pa.Table) -> list[bytes]:
+    return [encode(t).lower() for t in table["text"].to_pylist()]
+
+
+def _trains(table: pa.Table) -> list[bool]:
+    return [not held_out(i) for i in table["doc_id"].to_pylist()]
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each text has; the distinct ones' hashes, ascending; which of them each token is.
+
+    A hash takes in eight bytes of the word at a time, mixed in turn; the end, an empty word, is 0 bytes.
+    """
+    raw = b"".join(part for t in texts for part in (t, b" ")) + b"\0" * 8
+    x = np.frombuffer(raw, np.uint8)
+    blank = _SPACE.take(x)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(x) > 8 and not blank[0]:
+        edge = np.append(0, edge)
+    begin, size = edge[0:-1:2], edge[1::2] - edge[0:-1:2]  # the zeros after the last blank are an unclosed word
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, done = np.arange(len(begin)), 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        lane = wide[begin[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[at] = mix(h[at] * np.uint64(3) + lane)
+        done += 8
+        at = at[size[at] > done]
+    own = np.searchsorted(ends, begin, "right")  # the text of each word
+    back, found = pd.factorize(np.append(h, mix(np.array([_END], np.uint64))))
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    back = place[back]
+    sizes = np.bincount(own, minlength=len(texts)) + 1
+    out = np.empty(len(back) - 1 + len(texts), np.int64)
+    last = np.cumsum(sizes) - 1
+    out[last] = back[-1]
+    words = np.ones(len(out), bool)
+    words[last] = False
+    out[words] = back[:-1]
+    return sizes, found[order], out
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
+def pair_code(chunks: DataFrame) -> Code:
+    """The code of the training documents' byte pairs, which chunks carry counts of. The driver gets 65,536 sums at most."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for note in batch["note"]:
+                pairs += np.frombuffer(zstandard.decompress(note.as_py()), np.int64)
+        found = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pairs[found])], ["pair", "n"])
+
+    pairs = np.zeros(1 << 16, np.float64)
+    for row in chunks.select("note").mapInArrow(total, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[row["pair"]] = row["n"]
+    return Code(pairs.reshape(256, 256))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: RESULT."""
-    chunks = write_chunks(docs, ["doc_id", "text"])
+
+    def note(table: pa.Table) -> bytes:
+        return zstandard.compress(byte_pairs([t for t, own in zip(_lower(table), _trains(table), strict=True) if own]).tobytes(), 1)
+
+    chunks = write_chunks(docs, ["doc_id", "text"], CHUNK, note)
+    code = pair_code(chunks)
     buckets = n_buckets(chunks)
 
+    # buckets from 0 are those of tokens, from ``buckets`` those of contexts
     def send(table: pa.Table) -> Iterable[tuple[int, bytes]]:
-        _, sizes, h = _tokens(table)
-        trains = np.repeat(np.array([not held_out(i) for i in table["doc_id"].to_pylist()]), sizes)
-        keys, back = np.unique(h, return_inverse=True, sorted=True)
-        n = np.bincount(back[trains], minlength=len(keys)).astype(np.int64)
+        texts, trains = _lower(table), _trains(table)
+        sizes, keys, back = _tokens(texts)
+        n = np.bincount(back[np.repeat(np.array(trains), sizes)], minlength=len(keys)).astype(np.int64)
         for bucket, at in split_by(bucket_of(keys, buckets)):
-            yield bucket, np.uint32(len(at)).tobytes() + keys[at].tobytes() + zstandard.compress(n[at].tobytes(), 1)
+            yield bucket, b"T" + np.uint32(len(at)).tobytes() + keys[at].tobytes() + zstandard.compress(n[at].tobytes(), 1)
+        for bucket, p in send_runs(*counted_keys(texts, trains), buckets):
+            yield buckets + bucket, b"C" + p
+
+    def reduce(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
+        rest = [p[1:] for p in payloads]
+        return total(ids, rest) if payloads[0][:1] == b"T" else predict(code, ids, rest)
 
     def total(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
         sent = []
@@ -302,20 +450,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
             vn = np.array([np.frombuffer(p.as_py(), np.int64) for p in batch["payload"]], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(vn[:, 0]), pa.array(vn[:, 1])], ["v", "n"])
 
-    counts = materialize(answer(ask(chunks, send), total), "token-counts")
-    row = counts.where("chunk_id = -1").mapInArrow(sizes, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    answers = materialize(answer(ask(chunks, send), reduce), "counts")
+    row = answers.where("chunk_id = -1").mapInArrow(sizes, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     v, n_all = int(row[0] or 0), int(row[1] or 0)
 
-    def send_model(table: pa.Table) -> Iterable[tuple[int, bytes]]:
-        texts = [encode(t).lower() for t in table["text"].to_pylist()]
-        # numbered after the buckets of the tokens
-        return ((buckets + b, p) for b, p in send_runs(Runs(texts, [not held_out(i) for i in table["doc_id"].to_pylist()]), buckets))
-
-    model = answer(ask(chunks, send_model), predict)
-
     def score(chunk_id: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        texts, sizes, h = _tokens(table)
-        keys, back = np.unique(h, return_inverse=True, sorted=True)
+        texts = _lower(table)
+        sizes, keys, back = _tokens(texts)
         c = np.zeros(len(keys), np.int64)
         for bucket, at in split_by(bucket_of(keys, buckets)):
             c[at] = np.frombuffer(zstandard.decompress(got[bucket]), np.int64)
@@ -324,10 +465,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
         base = np.add.reduceat(np.log10(own + 1.0), starts) - sizes * np.log10(n_all + v + 1.0)
         known = np.add.reduceat((own > 0).astype(np.int64), starts)
         ids = table["doc_id"].to_pylist()
-        runs = Runs(texts, [False] * len(texts))
-        scores = np.array(score_runs(runs, {b - buckets: p for b, p in got.items() if b >= buckets}, buckets))
+        del c, back, own
+        got = {b: p for b, p in got.items() if b >= buckets}
+        runs, _ = all_runs(texts)
+        keys, at = keys_of(runs)
+        length = code.length[(keys & np.uint64(0xFFFF)).astype(np.int32)]
+        begin = (np.cumsum(length) - length).astype(np.int64)
+        value = np.empty(int(length.sum()), np.int8)
+        for bucket, mine in by_bucket(keys, buckets):
+            value[ragged(begin[mine], length[mine])] = np.frombuffer(zstandard.decompress(got[buckets + bucket]), np.int8)
+        decisions = packed(code, runs, at, begin, value)
+        del keys, at, length, begin, value
+        scores = log10_probabilities(code, texts, runs, decisions)
         per_byte = -scores / np.log10(2) / np.array([len(t) + 1 for t in texts])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()), "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(ids), n_all), "base_score": base, "score": scores, "bits_per_byte": per_byte})
 
-    return meet(chunks, counts.where("chunk_id >= 0").unionByName(model), score, RESULT)
-
+    return meet(chunks.drop("note"), answers.where("chunk_id >= 0"), score, RESULT)

@@ -1,40 +1,59 @@
 """The model's counts belong to one context each, however many there are."""
 
+from collections import Counter
+
 import numpy as np
+import zstandard
 
-from graphloom.llm.lm_score import ORDERS, Runs, code, contexts, decisions, predict, ragged, send_runs, stretched
+from graphloom.llm.lm_score import ORDERS, Code, _tokens, by_bucket, byte_pairs, counted_keys, predict, ragged, send_runs, stretched
 
 
 def test_no_two_contexts_share_counts():
-    """Far more contexts than 2 ** 21 slots could hold apart: each prediction is its own context's."""
+    """Random bytes: each prediction on a path is that of its own context and place, from all chunks' training texts."""
     rng = np.random.default_rng(1)
-    texts = [rng.integers(1, 256, 60_000).astype(np.uint8).tobytes() for _ in range(8)]
+    texts = [rng.integers(1, 40, 3_000).astype(np.uint8).tobytes() for _ in range(8)]
     trains = [True] * 6 + [False] * 2
-    chunks = [Runs(texts[:4], trains[:4]), Runs(texts[4:], trains[4:])]
+    code = Code(byte_pairs(texts[:6]).reshape(256, 256).astype(float))
+    chunks = [counted_keys(texts[:4], trains[:4]), counted_keys(texts[4:], trains[4:])]
     buckets = 4
-    asked = [dict(send_runs(r, buckets)) for r in chunks]
-    import zstandard
-
-    value = [np.empty(int(code()[0][(r.key & np.uint64(0xFF)).astype(np.uint8)].sum()), np.int8) for r in chunks]
-    for b in range(buckets):
-        answers = dict(predict([0, 1], [a[b] for a in asked]))
-        for k, r in enumerate(chunks):
-            length = code()[0][(r.key & np.uint64(0xFF)).astype(np.uint8)]
-            begin = np.cumsum(length) - length
-            for bucket, at in r.by_bucket(buckets):
-                if bucket == b:
-                    value[k][ragged(begin[at], length[at])] = np.frombuffer(zstandard.decompress(answers[k]), np.int8)
-    # brute force: counts by (context, node) of every order
-    for tag, order in enumerate(ORDERS):
-        mask = np.uint64(2 ** (8 * order) - 1)
-        of = lambda t: (lambda x, c, d: ((c & mask)[d[0]] << np.uint64(8) | d[1], d[2]))(*contexts(t), decisions(contexts(t)[0]))
-        place, outcome = (np.concatenate(v) for v in zip(*[of(t) for t in texts[:6]], strict=True))
-        keys, back = np.unique(place, return_inverse=True)
-        ones = np.bincount(back, outcome)
-        q = stretched(np.bincount(back) - ones, ones)
-        r, own = chunks[1], np.concatenate([of(t)[0] for t in texts[4:]])
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        want = np.where(keys[at] == own, q[at], 0)
-        length = code()[0][(r.key & np.uint64(0xFF)).astype(np.uint8)]
-        begin = np.cumsum(length) - length
-        assert (value[1][ragged(begin[r.at[tag]], code()[0][r.x])] == want).all()
+    asked = [dict(send_runs(*c, buckets)) for c in chunks]
+    keys = chunks[1][0]
+    length = code.length[(keys & np.uint64(0xFFFF)).astype(int)]
+    begin = np.cumsum(length) - length
+    value = np.empty(int(length.sum()), np.int8)
+    for b, at in by_bucket(keys, buckets):
+        answers = dict(predict(code, [0, 1], [a[b] for a in asked]))
+        value[ragged(begin[at], length[at])] = np.frombuffer(zstandard.decompress(answers[1]), np.int8)
+    # brute force: outcomes by order, context and place
+    counts: Counter = Counter()
+
+    def paths(text):
+        x = bytes(6) + text + b"\0"
+        for i in range(6, len(x)):
+            pair = x[i - 1] * 256 + x[i]
+            a = code.begin[pair]
+            yield x, i, [(int(code.node[a + j]), bool(code.outcome[a + j])) for j in range(code.length[pair])]
+
+    for text in texts[:6]:
+        for x, i, path in paths(text):
+            for order in ORDERS:
+                counts.update((order, x[i - order : i], node, bit) for node, bit in path)
+    where = {int(k): n for n, k in enumerate(keys.tolist())}
+    for text in texts[4:]:
+        for x, i, path in paths(text):
+            for tag, order in enumerate(ORDERS):
+                key = tag << 56 | int.from_bytes(x[i - order : i], "big") << 8 | x[i]
+                at = begin[where[key]]
+                ns = np.array([[counts[order, x[i - order : i], node, bit] for bit in (False, True)] for node, _ in path])
+                assert (value[at : at + len(path)] == stretched(ns[:, 0], ns[:, 1])).all()
+
+
+def test_tokens_are_told_apart():
+    texts = [b"", b" ", b"a", b"a b", b"  hello\nworld  ", "é ü\x0b x".encode(), b"abcdefgh abcdefghi abcdefgh\0 " + b"q" * 40, b"\0 z", b"a" * 17 + b" " + b"a" * 16]
+    texts += [b" ".join(bytes([97 + i * j % 3]) * (i * j % 11) for j in range(50)) for i in range(20)]
+    sizes, keys, back = _tokens(texts)
+    want = [t.split() + [None] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    number = {}
+    assert all(number.setdefault(w, n) == n for w, n in zip((w for own in want for w in own), back.tolist(), strict=True))
+    assert len(set(number.values())) == len(number) == len(keys)

@@ -7,14 +7,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.llm.conftest import prose
+
 from graphloom.llm import queries
 from graphloom.llm.decontaminate import drop_contaminated, find_contamination, myers, normalize, pattern_bits
 from graphloom.llm.html_extract import extract_html, main_text
 from graphloom.llm.line_dedup import dedup_lines
-from graphloom.llm.lm_score import contexts, decisions, log10_probability, score_documents, stretched, SIZE
+from graphloom.llm.lm_score import Code, all_runs, byte_pairs, counted_keys, keys_of, log10_probabilities, packed, predict, score_documents, send_runs
 from graphloom.llm.near_dedup import dart_minhash, drop_near_duplicates, near_duplicates
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.substring_dedup import dedup_substrings
@@ -132,18 +135,51 @@ def test_contamination_of_odd_rows(spark, odd_docs, odd_rows):
 
 
 # ---------------------------------------------------------------- language model
+def log10_of(train: list[bytes], texts: list[bytes]) -> np.ndarray:
+    """The model's scores of ``texts``, from one chunk that holds them and the training texts."""
+    code = Code(byte_pairs(train).reshape(256, 256).astype(float))
+    keys, n = counted_keys(train + texts, [True] * len(train) + [False] * len(texts))
+    runs, _ = all_runs(texts)
+    own, at = keys_of(runs)
+    length = code.length[(keys & np.uint64(0xFFFF)).astype(int)]
+    [(_, payload)] = send_runs(keys, n, 1)
+    [(_, answers)] = predict(code, [0], [payload])
+    value = np.frombuffer(zstandard.decompress(answers), np.int8)
+    # one bucket: its keys are in the order of their buckets' split, which is ascending
+    begin = (np.cumsum(length) - length)[np.searchsorted(keys, own)]
+    return log10_probabilities(code, texts, runs, packed(code, runs, at, begin, value))
+
+
 def test_code_is_complete_and_probabilities_sum_to_one():
-    every = np.arange(256).astype(np.uint8)
-    which, _, _ = decisions(every)
-    assert abs(sum(2.0 ** -int(n) for n in np.bincount(which)) - 1) < 1e-12
-    rng = np.random.default_rng(0)
-    model = stretched(rng.integers(0, 9, SIZE), rng.integers(0, 9, SIZE))
-    one = [10 ** log10_probability(bytes([b]), model) for b in range(1, 256)]
-    none = 10 ** log10_probability(b"", model)
-    x, c = contexts(b"ab")
-    assert x.tolist() == [97, 98, 0] and c.tolist() == [0, 97, 97 << 8 | 98]
+    train = [prose(i, 40).encode() for i in range(5)]
+    code = Code(byte_pairs(train).reshape(256, 256).astype(float))
+    assert np.allclose((0.5 ** code.length.reshape(256, 256)).sum(1), 1)
+    every = log10_of(train, [b""] + [bytes([b]) for b in range(1, 256)])
+    none, one = 10 ** every[0], 10 ** every[1:]
     # every text of one byte other than 0 ends in 0, and 0 in first place is the end
-    assert 0 < none < 1 and sum(one) < 1 - none
+    assert 0 < none < 1 and one.sum() < 1 - none
+    # given a first byte, all ends and second bytes share its probability
+    two = 10 ** log10_of(train, [b"b"] + [b"b" + bytes([b]) for b in range(1, 256)])
+    assert two.sum() < 1
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    """A text's score is the same whether it is one piece or several, but for where blocks end."""
+    train, text = [prose(i, 300).encode() for i in range(5)], prose(77, 900).encode()
+    whole = log10_of(train, [text])
+    from graphloom.llm import lm_score
+
+    monkeypatch.setattr(lm_score.pieces_of, "__defaults__", (1000,))
+    assert len(list(lm_score.pieces_of([text, b"x", b"y"]))) == len(text) // 1000 + 2
+    assert abs(log10_of(train, [text])[0] / whole[0] - 1) < 0.02
+
+
+def test_learning_begins_with_the_first_block():
+    """The same words again and again are scored better and better, from the first hundred bytes on."""
+    train = [prose(i, 300).encode() for i in range(5)]
+    once = b"zq xj " * 6
+    first, both = log10_of(train, [once, once * 8])
+    assert both > 8 * first
 
 
 def test_lm_scores_of_odd_rows(odd_docs, odd_rows):
