@@ -20,32 +20,47 @@ class Axioms:
     transitive: tuple[str, ...] = ()
 
 
-def _ancestors(parents: dict[str, str]) -> list[tuple[str, str]]:
-    out = []
-    for start in parents:
-        x, seen = start, set()
-        while x in parents and x not in seen:
-            seen.add(x)
-            x = parents[x]
-            out.append((start, x))
-    return out
+def _reach(start, step) -> set:
+    """Everything that ``step`` leads to from ``start``, itself apart unless it comes back to it."""
+    seen, todo = set(), [start]
+    while todo:
+        for x in step(todo.pop()):
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    return seen
 
 
 def entail(triples: DataFrame, axioms: Axioms) -> DataFrame:
-    """The triples and what the axioms (a few rows, broadcast by size) entail."""
+    """The triples and what the axioms entail.
+
+    What a triple entails depends on its property (or class) alone, so the axioms are closed before any data is read: a
+    property gives pairs of a property and a direction, a class its wider classes. One pass maps each triple to what it
+    entails, by a broadcast of these few rows; only transitive properties join triples with each other.
+    """
     spark = triples.sparkSession
-    turn = {**axioms.inverse, **{v: k for k, v in axioms.inverse.items()}, **{p: p for p in axioms.symmetric}}
-    up = spark.createDataFrame(_ancestors(axioms.sub_property) or [("", "")], "p string, q string")
-    out = as_set(union(triples, triples.join(up, "p").select("s", F.col("q").alias("p"), "o", "o_kind")))
-    if turn:
-        pairs = spark.createDataFrame(list(turn.items()), "p string, q string")
-        out = as_set(union(out, out.where("o_kind = 'iri'").join(pairs, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"), "o_kind")))
-        out = as_set(union(out, out.join(up, "p").select("s", F.col("q").alias("p"), "o", "o_kind")))
-    if axioms.sub_class:
-        wider = spark.createDataFrame(_ancestors(axioms.sub_class), "o string, c string")
-        out = as_set(union(out, out.where(F.col("p") == TYPE).join(wider, "o").select("s", "p", F.col("c").alias("o"), "o_kind")))
-    for p in axioms.transitive:
-        out = as_set(union(out, triple(closure(out.where(F.col("p") == p).select("s", "o")), F.col("s"), p, F.col("o"))))
+    turned = {**axioms.inverse, **{v: k for k, v in axioms.inverse.items()}, **{p: p for p in axioms.symmetric}}
+
+    def step(state: tuple[str, bool]) -> list[tuple[str, bool]]:
+        p, flip = state
+        return [x for x in ((axioms.sub_property.get(p), flip), (turned.get(p), not flip)) if x[0] is not None]
+
+    properties = {*axioms.sub_property, *turned}
+    of_property = [(p, q, flip) for p in sorted(properties) for q, flip in sorted(_reach((p, False), step)) if (q, flip) != (p, False)]
+    wider = [(c, w) for c in sorted(axioms.sub_class) for w in sorted(_reach(c, lambda x: [axioms.sub_class[x]] if x in axioms.sub_class else []))]
+    # as many rows as the axioms' closure has
+    maps = F.broadcast(spark.createDataFrame(of_property or [("", "", False)], "p string, q string, flip boolean"))
+    classes_ = F.broadcast(spark.createDataFrame(wider or [("", "")], "o string, wide string"))
+    base = materialize(as_set(triples.select("s", "p", "o", "o_kind")), "asserted") if axioms.transitive else triples
+    by_property = base.join(maps, "p").where("not flip or o_kind = 'iri'")
+    flipped = lambda a, b: F.when(F.col("flip"), F.col(a)).otherwise(F.col(b))
+    derived = by_property.select(flipped("o", "s").alias("s"), F.col("q").alias("p"), flipped("s", "o").alias("o"), "o_kind")
+    typed = base.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri")).join(classes_, "o").select("s", "p", F.col("wide").alias("o"), "o_kind")
+    out = as_set(union(base, derived, typed))
+    if axioms.transitive:
+        out = materialize(out, "entailed")
+        far = [triple(closure(out.where((F.col("p") == p) & (F.col("o_kind") == "iri")).select("s", "o")), F.col("s"), p, F.col("o")) for p in axioms.transitive]
+        out = as_set(union(out, *far))
     return out
 
 

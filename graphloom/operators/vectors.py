@@ -36,17 +36,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", ve
     these are the result. Null vectors are no candidates.
     """
     out = None
+    kind = "string" if dict(vectors.dtypes)[id] == "string" else "long"
+    as_ids = (lambda x: np.array(x, np.int64)) if kind == "long" else (lambda x: np.array(x, str))
+    schema = f"query_id {kind}, id {kind}, score double"
     rows = queries.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v")).where("v is not null").orderBy("id")
     source = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v")).where("v is not null")
     for held in _blocks(rows, block):
-        ids = np.array([r["id"] for r in held], np.int64)
+        ids = as_ids([r["id"] for r in held])
         wanted = _arrays(pa.array([r["v"] for r in held], pa.list_(pa.float64())))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, batch.num_rows, 4_096):
                     part = batch.slice(start, 4_096)
-                    own = part["id"].to_numpy(zero_copy_only=False)
+                    own = as_ids(part["id"].to_pylist())
                     scores = _arrays(part["v"]) @ wanted.T
                     if exclude_self:
                         scores[own[:, None] == ids[None, :]] = -np.inf
@@ -57,10 +60,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", ve
                     real = np.isfinite(s)
                     yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(o[real]), pa.array(s[real])], ["query_id", "id", "score"])
 
-        part = source.mapInArrow(run, "query_id long, id long, score double")
+        part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

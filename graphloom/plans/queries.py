@@ -4,26 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, entities, expansion, extract, kge, linking, retrieval, rules, triples, vectors
+from . import registry
 from .graph_tables import GRAPH_SQL, NS, graph, iri, table
-
-_SQL: dict[str, str] = {}
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import query
 
 _G = f"WITH {GRAPH_SQL} "
 _LOCAL = "CASE WHEN contains({0}, '#') THEN regexp_extract({0}, '^[^#]*#(.*)$', 1) ELSE regexp_extract({0}, '([^/]*)$', 1) END"
@@ -144,12 +132,22 @@ def entities_resolved(spark, sf_dir):
     return resolved.withColumns({"urls": F.concat_ws("|", "urls"), "aliases": F.concat_ws("|", "aliases")})
 
 
-@query()
+#: White space runs to one space, trimmed; sentences end behind '.', '!' or '?' that white space follows.
+_SENTENCES = "string_split(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"""SELECT page_id, canonical_text, count(*) AS mention_count FROM (
+  SELECT page_id, unnest(regexp_extract_all(sentence, '\\p{{Lu}}[\\p{{L}}''-]+(?: \\p{{Lu}}[\\p{{L}}''-]+)*')) AS canonical_text FROM (
+    SELECT doc_id AS page_id, unnest({_SENTENCES.format("text")}) AS sentence FROM documents)) WHERE lower(canonical_text) NOT IN ('the', 'and') GROUP BY page_id, canonical_text""")
 def entity_mentions(spark, sf_dir):
     return extract.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", stop=["The", "And"])
 
 
-@query()
+@query("""WITH own AS (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part),
+  catalog AS (SELECT p_name AS label, min('Q' || p_partkey) AS qid, min(lower(p_type)) AS description FROM part GROUP BY p_name)
+SELECT 'http://graphloom.example/part/' || p_partkey AS uri, c.qid, name AS label,
+  round(0.82 + 0.08 + 0.2 * 0.12 + CASE WHEN p_type = 'ECONOMY' THEN (CASE WHEN contains(description, 'economy') THEN 0.06 ELSE 0 END) - (CASE WHEN contains(description, 'promo') THEN 0.10 ELSE 0 END) ELSE 0 END, 6)::DOUBLE AS confidence
+FROM own JOIN catalog c ON lower(name) = lower(c.label)""")
 def link_best(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     own = p.select(iri("part", "p_partkey").alias("uri"), F.initcap("p_name").alias("label"), F.concat(F.lit(f"{NS}"), "p_type").alias("type"))
@@ -172,7 +170,19 @@ def link_accepted(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- chunks, vectors, link prediction
-@query()
+#: A step takes each open text's next sentence, as the fold does.
+_CHUNKS = f"""RECURSIVE s AS (SELECT doc_id, {_SENTENCES.format("coalesce(text, '')")} AS all_ FROM documents),
+  t AS (SELECT doc_id, list_filter(all_, lambda x: x <> '') AS all_ FROM s),
+  fold(doc_id, i, n, open, done, shut) AS (
+    SELECT doc_id, 0, 0, CAST([] AS VARCHAR[]), -1, CAST(NULL AS VARCHAR[]) FROM t WHERE len(all_) > 0
+    UNION ALL
+    SELECT doc_id, i + 1, CASE WHEN big THEN least(len(open), 50) ELSE n END + len(w), CASE WHEN big THEN list_concat(open[-50:], w) ELSE list_concat(open, w) END, done + CAST(big AS INTEGER), CASE WHEN big THEN open END
+    FROM (SELECT f.*, string_split(all_[i + 1], ' ') AS w, len(open) > 0 AND n + len(string_split(all_[i + 1], ' ')) > 220 AS big, i < len(all_) AS more FROM fold f JOIN t USING (doc_id)) WHERE more
+  ),
+  made AS (SELECT doc_id, done AS j, shut AS words FROM fold WHERE shut IS NOT NULL UNION ALL SELECT doc_id, done + 1, open FROM fold JOIN t USING (doc_id) WHERE i = len(all_))"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id || '::chunk_' || j AS chunk_id, CAST(doc_id AS VARCHAR) AS page_id, j AS chunk_index, array_to_string(words, ' ') AS text, CAST(len(words) AS INTEGER) AS n_words FROM made")
 def text_chunks(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -191,9 +201,31 @@ def vector_normalized(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("""SELECT avg(1.0 / l_linenumber) AS mrr, avg(CAST(l_linenumber <= 1 AS DOUBLE)) AS hits_at_1, avg(CAST(l_linenumber <= 3 AS DOUBLE)) AS hits_at_3, avg(CAST(l_linenumber <= 10 AS DOUBLE)) AS hits_at_10, avg(l_linenumber) AS mean_rank, count(*) AS n FROM lineitem""")
+#: Entities are the vectors, the one relation's is all ones; a tenth of the entities have a true tail each.
+_RANKS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), test AS (SELECT vec_id AS h, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS t FROM embeddings WHERE vec_id % 10 = 0),
+  s AS (SELECT t.h, t.t, list_dot_product(a.e, b.e) AS score FROM test t JOIN v a ON t.h = a.vec_id JOIN v b ON t.t = b.vec_id),
+  tails AS (SELECT s.h, s.t, 'tail' AS side, 1.0 + count(*) FILTER (x.vec_id <> s.t AND list_dot_product(a.e, x.e) > s.score + 1e-12) AS rank FROM s JOIN v a ON s.h = a.vec_id, v x GROUP BY s.h, s.t),
+  heads AS (SELECT s.h, s.t, 'head' AS side, 1.0 + count(*) FILTER (x.vec_id <> s.h AND NOT (x.vec_id % 10 = 0 AND (x.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) = s.t) AND list_dot_product(x.e, b.e) > s.score + 1e-12) AS rank FROM s JOIN v b ON s.t = b.vec_id, v x GROUP BY s.h, s.t),
+  ranks AS (SELECT * FROM tails UNION ALL SELECT * FROM heads)"""
+
+
+def _ranks(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    n, width = e.count(), 64
+    vectors_ = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    ones = spark.createDataFrame([("r", [1.0] * width)], "id string, vector array<double>")
+    test = e.where("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("head"), F.lit("r").alias("relation"), ((F.col("vec_id") * 7 + 1) % n).cast("string").alias("tail"))
+    return kge.ranks(test, vectors_, ones, test, "distmult")
+
+
+@query(f"WITH {_RANKS} SELECT CAST(h AS VARCHAR) AS head, CAST(t AS VARCHAR) AS tail, side, CAST(rank AS DOUBLE) AS rank FROM ranks")
+def kge_ranks(spark, sf_dir):
+    return _ranks(spark, sf_dir).select("head", "tail", "side", "rank")
+
+
+@query(f"WITH {_RANKS} SELECT avg(1.0 / rank) AS mrr, avg(CAST(rank <= 1 AS DOUBLE)) AS hits_at_1, avg(CAST(rank <= 3 AS DOUBLE)) AS hits_at_3, avg(CAST(rank <= 10 AS DOUBLE)) AS hits_at_10, CAST(avg(rank) AS DOUBLE) AS mean_rank, count(*) AS n FROM ranks")
 def kge_rank_metrics(spark, sf_dir):
-    return kge.rank_metrics(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rank")))
+    return kge.rank_metrics(_ranks(spark, sf_dir))
 
 
 @query()
@@ -214,11 +246,22 @@ def _questions(spark, sf_dir):
 _Q = "q AS (SELECT c_custkey AS question_id, 'Who is ' || c_name || ' of NATION_' || c_nationkey || '?' AS question FROM customer WHERE c_custkey % 20 = 0)"
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Who is ' || text WHEN turn % 3 = 1 THEN text || ' appears in?' ELSE 'Who portrays ' || text END AS question FROM conversations)
-SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'identity' WHEN turn % 3 = 1 THEN 'episode_membership' ELSE 'portrayal' END AS question_type FROM t""")
+#: Openings and endings of questions, in all cases; which type a text has follows from its words alone.
+_OPEN = ["Who is ", "  what ARE ", "Who portrays ", "Which episode has ", "What happens in ", "Tell me: what is happening in ", "who are", "WHO IS ", "What episode is ", "Is it that "]
+_CLOSE = ["?", " portrays?", " played by them?", " appears in?", " what happens in it?", " Portrays", ""]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_OPEN!r}[1 + (conv_id * 3 + turn) % {len(_OPEN)}] || text || {_CLOSE!r}[1 + (conv_id + turn * 5) % {len(_CLOSE)}] AS question FROM conversations),
+  l AS (SELECT *, lower(trim(question)) AS q FROM t)
+SELECT conv_id, turn, CASE
+  WHEN q LIKE '%what is happening in%' OR q LIKE '%what happens in%' THEN 'episode_summary'
+  WHEN q LIKE 'who is %' OR q LIKE 'what is %' OR q LIKE 'who are %' OR q LIKE 'what are %' THEN 'identity'
+  WHEN q LIKE '%portrays%' OR q LIKE '%played by%' THEN 'portrayal'
+  WHEN q LIKE '%which episode%' OR q LIKE '%what episode%' OR q LIKE '%appears in%' THEN 'episode_membership' ELSE 'generic' END AS question_type FROM l""")
 def question_types(spark, sf_dir):
-    turn = F.col("turn") % 3
-    q = F.when(turn == 0, F.concat(F.lit("Who is "), "text")).when(turn == 1, F.concat("text", F.lit(" appears in?"))).otherwise(F.concat(F.lit("Who portrays "), "text"))
+    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), (n % len(words)).cast("int"))
+    key, turn = F.col("conv_id"), F.col("turn")
+    q = F.concat(pick(_OPEN, key * 3 + turn), "text", pick(_CLOSE, key + turn * 5))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.question_type(q).alias("question_type"))
 
 
@@ -233,13 +276,15 @@ def question_entities(spark, sf_dir):
     return retrieval.match_entities(_questions(spark, sf_dir), retrieval.label_index(graph(spark, sf_dir)))
 
 
-@query(f"""WITH {GRAPH_SQL}, {_Q}, {_MATCHED},
-  f AS (SELECT * FROM g WHERE p NOT IN ('{triples.LABEL}', '{triples.TYPE}', '{triples.SAME_AS}')),
+_FACTS = f"""f AS (SELECT * FROM g WHERE p NOT IN ('{triples.LABEL}', '{triples.SAME_AS}')),
   hop AS (SELECT question_id, s, p, o FROM f JOIN found ON s = uri UNION SELECT question_id, s, p, o FROM f JOIN found ON o = uri WHERE o_kind = 'iri'),
   lab AS (SELECT s AS uri, min(o) AS label FROM g WHERE p = '{triples.LABEL}' GROUP BY s),
-  r AS (SELECT question_id, s AS subject_uri, p AS predicate_uri, o AS object_uri, coalesce(b.label, {_LOCAL.format("o")}) AS object_label, 1.0::DOUBLE AS score,
-    coalesce(a.label, {_LOCAL.format("s")}) || ' --' || {_LOCAL.format("p")} || '--> ' || coalesce(b.label, {_LOCAL.format("o")}) AS fact_text FROM hop LEFT JOIN lab a ON s = a.uri LEFT JOIN lab b ON o = b.uri)
-SELECT * FROM (SELECT question_id, subject_uri, predicate_uri, object_uri, score, fact_text, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, subject_uri, predicate_uri, object_uri, object_label) AS INTEGER) AS rank FROM r) WHERE rank <= 12""")
+  r AS (SELECT question_id, s AS subject_uri, p AS predicate_uri, o AS object_uri, coalesce(b.label, {_LOCAL.format("o")}) AS object_label, CASE WHEN p = '{triples.TYPE}' THEN 6.0 ELSE 1.0 END::DOUBLE AS score,
+    coalesce(a.label, {_LOCAL.format("s")}) || ' --' || {_LOCAL.format("p")} || '--> ' || coalesce(b.label, {_LOCAL.format("o")}) AS fact_text FROM hop LEFT JOIN lab a ON s = a.uri LEFT JOIN lab b ON o = b.uri),
+  best AS (SELECT * FROM (SELECT question_id, subject_uri, predicate_uri, object_uri, score, fact_text, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, subject_uri, predicate_uri, object_uri, object_label) AS INTEGER) AS rank FROM r) WHERE rank <= 12)"""
+
+
+@query(f"WITH {GRAPH_SQL}, {_Q}, {_MATCHED}, {_FACTS} SELECT * FROM best")
 def question_facts(spark, sf_dir):
     return retrieval.facts(_questions(spark, sf_dir), graph(spark, sf_dir)).select("question_id", "subject_uri", "predicate_uri", "object_uri", "score", "fact_text", "rank")
 
@@ -256,27 +301,52 @@ def lexical_top_k(spark, sf_dir):
     return retrieval.lexical_retrieve(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
-@query()
+@query(f"""WITH {GRAPH_SQL}, {_Q}, {_MATCHED}, {_FACTS}, c AS (SELECT doc_id AS chunk_id, text FROM documents),
+  asked AS (SELECT DISTINCT question_id, unnest(string_split({_KEY.format("question")}, ' ')) AS word FROM q),
+  terms AS (SELECT DISTINCT chunk_id, unnest(string_split({_KEY.format("text")}, ' ')) AS word FROM c),
+  t AS (SELECT question_id, least(3, count(DISTINCT chunk_id)) AS n FROM asked JOIN terms USING (word) WHERE word <> '' GROUP BY question_id),
+  k AS (SELECT question_id, count(*) AS n FROM best WHERE rank <= 8 GROUP BY question_id)
+SELECT question_id, 'identity' AS question_type, regexp_extract(question, '^Who is (.*)\\?$', 1) || ' is a character.' AS answer, CAST(coalesce(k.n, 0) AS INTEGER) AS n_facts, CAST(coalesce(t.n, 0) AS INTEGER) AS n_texts
+FROM q LEFT JOIN k USING (question_id) LEFT JOIN t USING (question_id)""")
 def evidence_packs(spark, sf_dir):
     """The whole way: facts and texts for each question, packed with an answer."""
     q = _questions(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     found = retrieval.lexical_retrieve(q, docs, 3).join(docs, "chunk_id")
-    packs = retrieval.evidence(q, found, retrieval.facts(q, graph(spark, sf_dir)))
+    packs = retrieval.answers(retrieval.evidence(q, found, retrieval.facts(q, graph(spark, sf_dir)), n_text=3, n_facts=8))
     return packs.select("question_id", "question_type", "answer", F.size("kg_evidence").alias("n_facts"), F.size("text_evidence").alias("n_texts"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(b), '\\s+'), lambda x: x <> '')) AS r
-  FROM conversations JOIN (SELECT item_id, text AS b FROM benchmark) ON conv_id % 40 = item_id)
+  FROM conversations JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, text AS b FROM benchmark) ON conv_id % (SELECT count(*) FROM benchmark) = i)
 SELECT conv_id, turn, len(list_intersect(a, r)) / greatest(len(r), 1) AS overlap, CASE WHEN overlap > 0.35 THEN 3 WHEN overlap > 0.20 THEN 2 WHEN overlap > 0.08 THEN 1 ELSE 0 END AS grade FROM w""")
 def answer_grades(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference")), F.col("conv_id") % 40 == F.col("item_id"))
-    return retrieval.answer_scores(rows.withColumnRenamed("text", "answer")).select("conv_id", "turn", "overlap", "grade")
+    return retrieval.answer_scores(_answers(spark, sf_dir)).select("conv_id", "turn", "overlap", "grade")
+
+
+def _answers(spark, sf_dir):
+    """Turns as answers, each with a benchmark item, in turn, as its reference."""
+    items = table(spark, sf_dir, "benchmark")
+    numbered = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), F.col("text").alias("reference"))
+    return table(spark, sf_dir, "conversations").withColumn("i", (F.col("conv_id") % items.count()).cast("int")).join(numbered, "i").withColumnRenamed("text", "answer")
+
+
+@query("""WITH w AS (SELECT role, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(b), '\\s+'), lambda x: x <> '')) AS r
+  FROM conversations JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, text AS b FROM benchmark) ON conv_id % (SELECT count(*) FROM benchmark) = i),
+  o AS (SELECT role, len(list_intersect(a, r)) / greatest(len(r), 1) AS overlap FROM w)
+SELECT role AS system, count(*) AS n, round(avg(overlap), 6) AS mean_overlap, round(avg(CASE WHEN overlap > 0.35 THEN 3 WHEN overlap > 0.20 THEN 2 WHEN overlap > 0.08 THEN 1 ELSE 0 END), 6) AS mean_grade,
+  count(*) FILTER (overlap > 0.35) AS n_full FROM o GROUP BY role""")
+def system_comparison(spark, sf_dir):
+    """Two systems' answers to the same questions, graded: here the roles of a conversation."""
+    return retrieval.compare_systems(_answers(spark, sf_dir).withColumnRenamed("role", "system"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from . import knowledge_queries, story_queries  # noqa: F401  they register theirs
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(registry.SQL)

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.triples import RDF
@@ -88,6 +88,33 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", node("s"), F.concat(F.lit("<"), "p", F.lit(">")), o, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_turtle(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
+    """Triples as Turtle files: a subject's statements together, predicates and objects by ';' and ','; safe names by prefix."""
+    prefixes = prefixes or {}
+    for c in ("o_lang", "o_dtype"):
+        if c not in triples.columns:
+            triples = triples.withColumn(c, F.lit(None).cast("string"))
+
+    def named(c: Column) -> Column:
+        out = F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+        for name, iri in prefixes.items():
+            local = F.substring(c, F.lit(len(iri) + 1), F.length(c))
+            out = F.when(F.startswith(c, F.lit(iri)) & local.rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit(f"{name}:"), local)).otherwise(out)
+        return out
+
+    text = F.col("o")
+    for plain, coded in (("\\\\", "\\\\\\\\"), ('"', '\\\\"'), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")):
+        text = F.regexp_replace(text, plain, coded)
+    suffix = F.when(F.col("o_dtype").isNotNull(), F.concat(F.lit("^^"), named(F.col("o_dtype")))).when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).otherwise("")
+    o = F.when(F.col("o_kind") == "lit", F.concat(F.lit('"'), text, F.lit('"'), suffix)).otherwise(named(F.col("o")))
+    p = F.when(F.col("p") == f"{RDF}type", "a").otherwise(named(F.col("p")))
+    rows = triples.select(named(F.col("s")).alias("s"), p.alias("p"), o.alias("o")).groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set("o")), " , ").alias("o"))
+    rows = rows.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))), " ;\n    ").alias("body"))
+    head = "".join(f"@prefix {name}: <{iri}> .\n" for name, iri in prefixes.items())
+    # each line stands alone with its prefixes, so each file of the folder is a document
+    rows.select(F.concat(F.lit(head), "s", F.lit(" "), "body", F.lit(" .\n")).alias("value")).write.mode("overwrite").text(path)
+
+
 _TURTLE = re.compile(r'\s+|#[^\n]*|(?P<iri><[^>]*>)|(?P<long>"""(?:[^"\\]|\\.|"(?!""))*""")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[a-zA-Z][\w-]*)|(?P<dt>\^\^)|(?P<num>[+-]?\d+(?:\.\d+)?(?=[\s;,.\])]))|(?P<name>[^\s;,\[\]()<>"@^.]*(?:\.[^\s;,\[\]()<>"@^.]+)*:?[^\s;,\[\]()<>"@^.]*(?:\.[^\s;,\[\]()<>"@^.]+)*)(?<!\s)|(?P<mark>[;,.\[\]])')
 XSD = "http://www.w3.org/2001/XMLSchema#"
 

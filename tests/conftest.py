@@ -7,6 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import pytest
 from pyspark.sql import SparkSession
 
+from graphloom.plans.written import cleanup
+
 TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 
@@ -23,6 +25,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    cleanup(session)
     session.stop()
 
 

@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import json
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import chunking, entities, expansion, extract, kge, linking, retrieval, rules, triples, vectors
+from graphloom.operators import abox, chunking, entities, expansion, extract, kge, linking, retrieval, rules, triples, vectors
 from graphloom.operators.components import connected_components
 from graphloom.sources import files
 from graphloom.streaming import streams
@@ -210,14 +211,48 @@ def test_questions_and_evidence(spark):
     assert [tuple(r)[1:] for r in kinds] == [("identity", "Ann Lee"), ("episode_summary", "What happens in Fork"), ("portrayal", "who portrays Ann Lee"), ("generic", "zz")]
     g = spark.createDataFrame([("http://x/ann", triples.LABEL, "Ann Lee", "lit"), ("http://x/ann", triples.TYPE, "http://x/Character", "iri"), ("http://x/bob", "http://x/portrays", "http://x/ann", "iri"), ("http://x/ann", "http://x/met", "http://x/bob", "iri"), ("http://x/ann", "http://x/confidence", "1", "lit")], "s string, p string, o string, o_kind string")
     facts = retrieval.facts(q, g).orderBy("question_id", "rank").collect()
-    assert [(r["question_id"], r["fact_text"], r["score"]) for r in facts] == [(1, "bob --portrays--> Ann Lee", 1.2), (1, "Ann Lee --met--> bob", -0.3), (3, "bob --portrays--> Ann Lee", 6.2), (3, "Ann Lee --met--> bob", 1.2)]
+    want = [(1, "Ann Lee --type--> Character", 6.0), (1, "bob --portrays--> Ann Lee", 5.2), (1, "Ann Lee --met--> bob", -0.3), (3, "bob --portrays--> Ann Lee", 6.2), (3, "Ann Lee --type--> Character", 1.2), (3, "Ann Lee --met--> bob", 1.2)]
+    assert [(r["question_id"], r["fact_text"], r["score"]) for r in facts] == want
     c = spark.createDataFrame([("c1", "T", "Ann Lee is a player. " * 3, 0.1), ("c2", "Ann Lee", "someone else", 0.3), ("c3", "", "nothing", 0.7)], "chunk_id string, title string, text string, vector_score double")
     ranked = retrieval.rerank(c.crossJoin(q.where("question_id = 1").select("question_id")), q).orderBy("rank").collect()
     assert [(r["chunk_id"], r["rerank_score"]) for r in ranked] == [("c1", 0.95), ("c2", 0.8), ("c3", 0.7)]
-    packs = retrieval.evidence(q, retrieval.lexical_retrieve(q, c).join(c, "chunk_id"), retrieval.facts(q, g)).orderBy("question_id").collect()
-    assert packs[0]["answer"] == "Ann Lee: bob --portrays--> Ann Lee; Ann Lee --met--> bob" and packs[3]["answer"] == "No evidence was found."
+    found = retrieval.match_entities(q, retrieval.label_index(g))
+    packs = retrieval.answers(retrieval.evidence(q, retrieval.lexical_retrieve(q, c).join(c, "chunk_id"), retrieval.facts(q, g), found, g)).orderBy("question_id").collect()
+    assert [r["answer"] for r in packs] == [
+        "Ann Lee is a character.",
+        "*What happens in Fork* is an episode of *the series*.",
+        "Ann Lee is portrayed by bob.",
+        "I could not generate a grounded answer from the retrieved evidence.",
+    ]
+    assert [(e["label"], e["class"]) for e in packs[0]["matched_entities"]] == [("Ann Lee", "Character")] and packs[3]["matched_entities"] == []
     prompt = retrieval.prompts(retrieval.evidence(q, retrieval.lexical_retrieve(q, c).join(c, "chunk_id"), retrieval.facts(q, g))).where("question_id = 1").first()["prompt"]
-    assert "[1] bob --portrays--> Ann Lee" in prompt and prompt.endswith("Question: Who is Ann Lee?\nAnswer:")
+    assert "[2] bob --portrays--> Ann Lee" in prompt and prompt.endswith("Question: Who is Ann Lee?\nAnswer:")
+
+
+def test_asking(spark):
+    q = spark.createDataFrame([(1, "Who is Ann Lee?"), (2, "zz")], "question_id long, question string")
+    g = spark.createDataFrame([("http://x/ann", triples.LABEL, "Ann Lee", "lit"), ("http://x/ann", triples.TYPE, "http://x/FictionalHero", "iri"), ("http://x/ann", "http://x/P1441", "A Book", "lit"), ("http://x/ann", "http://x/creator", "Bob", "lit"), ("http://x/ann", "http://x/performer", "C", "lit"), ("http://x/ann", "http://x/performer", "D", "lit")], "s string, p string, o string, o_kind string")
+    c = spark.createDataFrame([("c1", "Ann Lee", "Ann Lee plays. " * 3, "http://www.a.b/x"), ("c2", None, "Ann again", "http://www.a.b/x"), ("c3", "T", "Lee", None)], "chunk_id string, title string, text string, url string")
+    out = {r["question_id"]: r for r in retrieval.ask(q, g, c).collect()}
+    assert out[1]["answer"] == "Ann Lee is a fictionalhero in *A Book*. The character was created by Bob. In screen adaptations, Ann Lee is performed or portrayed by C and D. The retrieved source passages also show that this character is central to the narrative and closely connected to major events and relationships in the series."
+    sources = [(s["id"], s["type"], s["domain"]) for s in out[1]["sources"]]
+    assert sources == [("S1", "text", "a.b"), *[(f"K{i}", "kg", None) for i in range(1, 5)]] and out[2]["sources"] == []
+    replies = lambda prompts: prompts.select("question_id", F.when(F.col("question_id") == 2, "a model's words").alias("reply"))
+    out = {r["question_id"]: r["answer"] for r in retrieval.ask(q, g, c, model=replies).collect()}
+    assert out[2] == "a model's words" and out[1].startswith("Ann Lee is a fictionalhero")
+    routes = retrieval.route(q, retrieval.match_entities(q, retrieval.label_index(g))).collect()
+    assert [(r["question_id"], r["kind"]) for r in routes] == [(1, "types")] and "rdf:type" in routes[0]["sparql"]
+
+
+def test_matches_are_substrings_however_long(spark):
+    r = random.Random(2)
+    labels = {"".join(r.choice("ab c") for _ in range(r.randint(1, 9))).strip() for _ in range(60)} - {""}
+    asked = ["".join(r.choice("ab c") for _ in range(r.randint(0, 40))) for _ in range(30)]
+    index = spark.createDataFrame([(" ".join(x.split()), f"u{i}") for i, x in enumerate(sorted(labels))], "label_norm string, uri string")
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    got = {(x["question_id"], x["uri"], x["size"]) for x in retrieval.match_entities(q, index, k=100).collect()}
+    want = {(i, u, len(n)) for i, t in enumerate(asked) for n, u in index.collect() if len(n) >= 3 and n in " ".join(t.split())}
+    assert got == want
 
 
 def test_extraction(spark):
@@ -227,6 +262,52 @@ def test_extraction(spark):
     assert ("Ann Lee", "MET", "Bob") in {(r["subject"], r["relation"], r["object"]) for r in got} and all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_scored_relations(spark):
+    text = "Nothing here. Ann Lee  lost to Bob Moe in May! Ann Lee won the Cup of Tea. Ann Lee met Paris. Ann Lee met Ann Lee."
+    pages = spark.createDataFrame([(1, text)], "id long, t string")
+    labels = spark.createDataFrame([("Cup", "EVENT"), ("Paris", "GPE")], "name string, label string")
+    got = {(r["relation"], r["object"]): r for r in extract.scored_relations(pages, "id", "t", labels).collect()}
+    assert set(got) == {("LOST_TO", "Bob Moe"), ("WON", "Cup")}
+    plain = " ".join(text.split())
+    for r in got.values():
+        assert plain[r["evidence_start_char"] : r["evidence_end_char"]] == r["evidence"] and "won" in r["evidence"] or "lost" in r["evidence"]
+    lost, won = got["LOST_TO", "Bob Moe"], got["WON", "Cup"]
+    assert (lost["relation_rule"], lost["pattern_score"], lost["distance_score"]) == ("dep:verb_nsubj_pobj", 0.70, 0.65)
+    assert abs(won["confidence"] - (0.4 * 0.85 + 0.6 * 0.75)) < 1e-9 and won["object_class"] == "EVENT"
+    long = "x " * 300
+    row = spark.createDataFrame([(long + "played " + long,)], "s string").select(extract.shorten(F.col("s")).alias("short"), extract.context_window(F.col("s"), F.lit("played")).alias("window")).first()
+    assert len(row["short"]) <= 251 and row["short"].endswith("x…") and row["window"].startswith("…") and "played" in row["window"] and row["window"].endswith("…")
+
+
+def test_documents_with_odd_values(spark):
+    claims = {"P1": [{"mainsnak": {"snaktype": "value", "datavalue": {"type": "time", "value": {"time": t}}}} for t in ("-0044-03-15T00:00:00Z", "+2020-00-00T00:00:00Z", "soon")], "P2": [{"mainsnak": {"snaktype": "value"}}]}
+    docs = [("Q1", json.dumps({"labels": {"en": {"value": "  "}, "xx": {"value": "X"}, "aa": {"value": "A"}}, "claims": claims})), ("Q2", "no json"), ("Q3", None), ("Q4", "{}")]
+    e = expansion.read_entities(spark.createDataFrame(docs, "qid string, json string"))
+    assert {(r["s"], r["o"], r["o_lang"]) for r in expansion.entity_metadata(e, "u/").collect()} == {("u/Q1", "A", "aa")}
+    got = {(r["o"], r["o_dtype"]) for r in expansion.claim_triples(e, "u/", "p/", ["P1", "P2"]).collect()}
+    assert got == {("0044-03-15", f"{abox.XSD}date"), ("2020-00-00", None), ("soon", None)}
+    assert expansion.claim_triples(e, "u/", "p/", ["P1"], literals=False).count() == 0
+
+
+def test_alignment_kinds(spark):
+    from pyspark.errors import PySparkException
+
+    rows = lambda kind: spark.createDataFrame([("a", kind, "P1", None)], "local string, kind string, property string, note string")
+    assert [(r["p"], r["o"]) for r in abox.alignment(rows("equivalent"), "b/", "t/").collect()] == [(abox.EQUIVALENT, "t/P1")]
+    with pytest.raises(PySparkException, match="unknown kind"):
+        abox.alignment(rows("odd"), "b/", "t/").collect()
+
+
+def test_turtle_is_read_back(spark, tmp_path):
+    e = spark.createDataFrame([("CHARACTER:x-1", 'A "q" \\ \n label', "character", "http://u")], "entity_id string, canonical_text string, entity_class string, url string")
+    rel = spark.createDataFrame([("CHARACTER:x-1", "met", "y", "0.5", "text")], "subject_id string, relation string, object_id string, confidence string, evidence string")
+    t = abox.typed_union(abox.entity_triples(e, "http://k#", {"CHARACTER": "Character"}), abox.relation_triples(rel, "http://k#", {"MET": "met"}))
+    files.write_turtle(t, str(tmp_path / "t"), {"k": "http://k#", "xsd": abox.XSD})
+    back = files.read_turtle(spark, str(tmp_path / "t"))
+    plain = lambda df: sorted((r["p"], r["o"] if r["o_kind"] != "bnode" else "", r["o_lang"], r["o_dtype"]) for r in df.collect())
+    assert plain(back) == plain(t)
+
+
 # ---------------------------------------------------------------- sources, streams
 TURTLE = """@prefix x: <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
 # a comment
