@@ -45,34 +45,41 @@ FROM own
 
 
 def mix_sql(docs: str, weights=(5, 2, 1), share: float = 1.5, max_copies: float = 2.0, seed: str = "mix") -> str:
-    """The sample of ``mix_sources`` over the relation ``docs``, as a list of WITH parts that ends in ``mixed``."""
+    """The sample of ``mix_sources`` over the relation ``docs``, as a list of WITH parts that ends in ``mixed``.
+
+    Sources and classes are filled by trying how many of them, in order of cap / weight, are capped.
+    """
     return rf"""
 sized AS (
   SELECT *, coalesce('=' || source, '~') AS key,
          CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM {docs}
+), classed AS (
+  SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM sized
 ), found AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY key
 ), weighed AS (
-  SELECT *, CAST([{", ".join(str(w) for w in weights)}][1 + (row_number() OVER (ORDER BY encode(key)) - 1) % {len(weights)}] AS DOUBLE) AS weight,
-         {max_copies}::DOUBLE * source_size AS cap, {share}::DOUBLE * (sum(source_size) OVER ()) AS total
-  FROM found
+  SELECT *, CAST([{", ".join(str(w) for w in weights)}][1 + (row_number() OVER (ORDER BY encode(key)) - 1) % {len(weights)}] AS DOUBLE) AS weight, {max_copies}::DOUBLE * source_size AS cap FROM found
 ), levels AS (
-  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(key) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-            / sum(weight) OVER (ORDER BY cap / weight, encode(key) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM weighed
-), settled AS (
-  SELECT *, CASE WHEN cap <= weight * level THEN cap ELSE weight * (SELECT arg_min(level, cap / weight) FROM levels WHERE cap > weight * level) END AS target
-  FROM levels
+  SELECT a.key, a.cap / a.weight AS ratio,
+         ({share}::DOUBLE * (SELECT sum(source_size) FROM found) - coalesce((SELECT sum(b.cap) FROM weighed b WHERE b.cap / b.weight < a.cap / a.weight), 0.0)) / (SELECT sum(b.weight) FROM weighed b WHERE b.cap / b.weight >= a.cap / a.weight) AS level FROM weighed a
 ), goal AS (
-  SELECT key, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM settled
+  SELECT w.key, source_size, CASE WHEN NOT EXISTS (SELECT 1 FROM levels WHERE ratio > level) THEN cap ELSE least(cap, weight * (SELECT arg_min(level, ratio) FROM levels WHERE ratio > level)) END AS target FROM weighed w
+), classes AS (
+  SELECT key, class, CAST(sum(size) AS BIGINT) AS words, 1.0::DOUBLE + class AS w FROM classed GROUP BY key, class
+), rates AS (
+  SELECT a.key, a.class, (target - {max_copies}::DOUBLE * coalesce((SELECT sum(b.words) FROM classes b WHERE b.key = a.key AND b.w > a.w), 0)) / nullif((SELECT sum(b.w * b.words) FROM classes b WHERE b.key = a.key AND b.w <= a.w), 0) AS level, {max_copies}::DOUBLE / a.w AS ratio FROM classes a JOIN goal USING (key) WHERE words > 0
+), expected AS (
+  SELECT c.key, c.class, c.words, CASE WHEN c.words = 0 THEN 0.0 ELSE least({max_copies}::DOUBLE, c.w * coalesce((SELECT arg_min(level, ratio) FROM rates r WHERE r.key = c.key AND r.ratio > r.level), {max_copies}::DOUBLE)) END AS e FROM classes c
+), parts AS (
+  SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p, sum(floor(e) * words) OVER (PARTITION BY key) AS certain FROM expected
 ), ranked AS (
-  SELECT s.*, source_size, target, whole, target - whole * source_size AS rest,
-         sum(size) OVER (PARTITION BY s.key ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized s JOIN goal g ON s.key = g.key
+  SELECT s.*, source_size, target, whole, p, target - certain AS rest, (u / (1 - u)) / (p / (1 - p)) AS odds FROM classed s JOIN parts USING (key, class) JOIN goal USING (key)
+), cumulated AS (
+  SELECT *, CASE WHEN p > 0 THEN sum(size) FILTER (p > 0) OVER (PARTITION BY key ORDER BY CASE WHEN p > 0 THEN 0 ELSE 1 END, odds, u, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM ranked
 ), mixed AS (
-  SELECT *, whole + CAST(rest > upto - size AND upto - size / 2.0 <= rest AS BIGINT) AS copies FROM ranked
+  SELECT *, whole + CAST(coalesce(rest > upto - size AND upto - size / 2.0 <= rest, false) AS BIGINT) AS copies FROM cumulated
 )"""
 
 
@@ -94,7 +101,7 @@ WITH idx(template, label, base, place, gram, size) AS (VALUES {rows}
   SELECT r, template, label, base, size, pos - place AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last, list(place) AS ats
   FROM g JOIN idx USING (gram) GROUP BY ALL
 ), marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 AND first - lag(last) OVER w BETWEEN 0 AND size + 2 THEN 0 ELSE 1 END AS fresh
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 THEN 0 ELSE 1 END AS fresh
   FROM votes WHERE NOT base WINDOW w AS (PARTITION BY r, template ORDER BY diagonal, first)
 ), grouped AS (
   SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal, first) AS grp FROM marked
