@@ -1,11 +1,11 @@
 """HTML extraction by composite text density.
 
-A tolerant parser builds the element tree. Elements that never are main text (scripts,
-styles, forms, navigation, page headers and footers, asides, and whatever bears a class, id
-or role that says advert, sidebar, notice, comments and the like) are cut first. A class or id
-alone doesn't cut what holds an <article> or <main>, bears a kept word (post, content) as a class
-of its own, or has more than half of the page's text; there the density decides. For every
-remaining node the composite density is
+A tolerant parser builds the element tree. Elements that never are main text by their tag or role (scripts,
+styles, forms, navigation, page headers and footers, asides, what is hidden) are cut first. A class or id
+that says sidebar, notice, comments and the like cuts only what density finds poor: densities are
+first taken with all such elements in the tree, and one that holds an <article> or <main>, or the node of the
+largest density sum, stays; others go if their sum is under half of the largest (adverts and comments whatever
+theirs is). For every remaining node the composite density is
 
     CTD = C / T * log((C / LC) * (T / LT)) / log(log(C / (C - LC) * LC + LCb / Cb * C + e))
 
@@ -13,7 +13,7 @@ with C characters, T tags, LC characters and LT tags of links (0 counts as 1 in
 denominator) and b the body. A node's density sum adds its children's CTD. From the node
 with the largest sum the path to the body gives the threshold, its least CTD. If an
 <article> or <main> is on that path, the outermost <article> (else <main>) is the text;
-otherwise every subtree whose CTD reaches the threshold contributes its maximum-sum node.
+otherwise that node is, with the subtrees beside the path whose CTD reaches the threshold.
 Within the text only link lists under the threshold are cut; nothing else is.
 
 Text: character references decoded, white space collapsed, block elements and <br> separate
@@ -63,21 +63,22 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "chars", "tags", "link_chars", "link_tags", "ctd", "sum")
+    __slots__ = ("tag", "parent", "children", "cut", "always", "chars", "tags", "link_chars", "link_tags", "ctd", "sum")
 
     def __init__(self, tag: str, parent: Node | None, cut: int):
-        self.tag, self.parent, self.cut = tag, parent, cut
+        self.tag, self.parent, self.cut, self.always = tag, parent, min(cut, NAMED), cut == NAMED_ALWAYS
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.ctd = self.sum = 0.0
 
 
-#: An element that is cut by its class or id alone: ``_spare`` looks at what it holds.
-NAMED = 2
+#: An element that its class or id would cut: ``_judge`` looks at its density. Adverts and comments are no part of the text even if dense.
+NAMED, NAMED_ALWAYS = 2, 3
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors comment comments commentlist replies disqus discussion respond cookie cookies consent newsletter".split())
 
 
 def _cut(tag: str, attrs: str, inside: bool) -> int:
-    """Whether an element never is main text: 0, 1 or NAMED. inside: it stands in an article."""
+    """Whether an element never is main text: 0, 1, NAMED or NAMED_ALWAYS. inside: it stands in an article."""
     if tag in CUT or tag == "header" and not inside:
         return 1
     if tag in ("html", "body") or not attrs or "=" not in attrs and "hidden" not in attrs:
@@ -95,36 +96,45 @@ def _cut(tag: str, attrs: str, inside: bool) -> int:
             return 1
     found = names & CUT_WORDS
     if tag in ("main", "article"):
-        return NAMED if found & {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"} else 0
+        found &= {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"}
     if not found or found <= {"header"} and names & KEEP_WORDS or own & KEEP_WORDS and not own & CUT_WORDS:
         return 0
-    return NAMED
+    return NAMED_ALWAYS if found & ALWAYS else NAMED
 
 
-def _spare(root: Node) -> None:
-    """Keep elements cut by name that hold an <article> or <main>, or more than half of the text that tags don't cut.
+def _judge(root: Node) -> None:
+    """Cut the elements that bear a cutting name and that density finds poor; keep the others.
 
-    What stays cut within an element counts for neither.
+    Densities are taken with all of them in the tree. One that holds an <article>, a <main> or the node of the largest sum
+    stays. Others go if their sum is under half of the largest one, and adverts and comments (``ALWAYS``)
+    whatever theirs is; the largest sum is looked for outside those, unless they hold three quarters of the text.
     """
-    nodes, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        nodes.append(node)
-        todo += [x for x in node.children if isinstance(x, Node) and x.cut in (0, NAMED)]
-    if all(x.cut != NAMED for x in nodes):
+    nodes = _order(root, NAMED)
+    named = [x for x in nodes if x.cut == NAMED]
+    if not named:
         return
-    size = {id(x): sum(len("".join(t.split())) for t in x.children if isinstance(t, str)) for x in nodes}
-    half = sum(size.values()) / 2
-    main: set[int] = set()
+    _measure(nodes, NAMED)
+    holds: set[int] = set()
     for node in reversed(nodes):
-        if node.cut == NAMED:
-            if id(node) not in main and size[id(node)] <= half:
-                continue
-            node.cut = 0
-        if node.parent is not None:
-            size[id(node.parent)] += size[id(node)]
-            if node.tag in ("article", "main") or id(node) in main:
-                main.add(id(node.parent))
+        if node.parent is not None and (node.tag in ("article", "main") and not node.always or id(node) in holds):
+            holds.add(id(node.parent))
+    barred = {id(x) for x in named if x.always and id(x) not in holds and x.chars <= 0.75 * root.chars}
+    inside: set[int] = set()
+    for node in nodes:
+        if id(node) in barred or node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+    best = max((x for x in nodes if id(x) not in inside), key=lambda x: x.sum)
+    path = set()
+    up: Node | None = best
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
+    for node in named:
+        stays = id(node) in holds or id(node) in path or id(node) not in barred and node.sum > 0 and node.sum >= best.sum / 2
+        node.cut = 0 if stays else 1
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.ctd = node.sum = 0.0
 
 
 def parse(page: str) -> Node:
@@ -180,27 +190,28 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not (attrs.rstrip().endswith("/") and tag in ("svg", "path")):
             at = node
             inside += tag == "article"
-    _spare(root)
+    _judge(root)
     return root
 
 
-def _order(root: Node) -> list[Node]:
-    """The nodes that aren't cut, parents first."""
+def _order(root: Node, upto: int = 0) -> list[Node]:
+    """The nodes that aren't cut (or, with NAMED, are by name alone), parents first."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.cut]
+        todo += [x for x in reversed(node.children) if isinstance(x, Node) and x.cut in (0, upto)]
     return out
 
 
-def _measure(nodes: list[Node]) -> None:
+def _measure(nodes: list[Node], upto: int = 0) -> None:
+    """Counts, composite text densities and density sums of the nodes, parents first."""
     for node in reversed(nodes):
         link = node.tag == "a"
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len("".join(x.split()))
-            elif not x.cut:
+            elif x.cut in (0, upto):
                 node.chars += x.chars
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
@@ -216,7 +227,7 @@ def _measure(nodes: list[Node]) -> None:
             base = max(1.5, math.log(c / max(1, c - node.link_chars) * node.link_chars + shared * c + math.e))
             node.ctd = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
     for node in nodes:
-        node.sum = sum(x.ctd for x in node.children if isinstance(x, Node) and not x.cut)
+        node.sum = sum(x.ctd for x in node.children if isinstance(x, Node) and x.cut in (0, upto))
 
 
 def _collect(node: Node, threshold: float, out: list[str]) -> None:
@@ -246,33 +257,23 @@ def main_text(page: str | None) -> str:
     threshold = min(x.ctd for x in path)
     chosen = [x for x in path if x.tag == "article"][-1:] or [x for x in path if x.tag == "main"][-1:]
     out: list[str] = []
-    if chosen:
-        _collect(chosen[0], threshold, out)
-    else:
-        for x in _marked(nodes[0], threshold):
-            _collect(x, threshold, out)
-            out.append(" ")
+    for x in chosen or _dense(path, threshold):
+        _collect(x, threshold, out)
+        out.append(" ")
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def _marked(body: Node, threshold: float) -> list[Node]:
-    """In page order: of each subtree whose density reaches the threshold, the maximum-sum node."""
-    marked: set[int] = set()
-    below: dict[int, Node] = {}
-    nodes = _order(body)
-    for node in reversed(nodes):
-        kids = [below[id(x)] for x in node.children if isinstance(x, Node) and not x.cut]
-        below[id(node)] = max([node, *kids], key=lambda x: x.sum)
-    for node in nodes:
-        if node.ctd >= threshold:
-            marked.add(id(below[id(node)]))
-    out, todo = [], [body]
+def _dense(path: list[Node], threshold: float) -> list[Node]:
+    """In page order the path's first node, and the subtrees beside the path that reach the threshold."""
+    inside = {id(x) for x in path}
+    out: list[Node] = []
+    todo: list[Node] = [path[-1]]
     while todo:
         node = todo.pop()
-        if id(node) in marked:
+        if node is path[0] or id(node) not in inside:
             out.append(node)
         else:
-            todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.cut]
+            todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.cut and (id(x) in inside or x.chars and x.ctd >= threshold)]
     return out
 
 
