@@ -42,6 +42,20 @@ def n_buckets(df: DataFrame, bytes_each: int = 1 << 20, least: int = 512) -> int
     return max(least, min(1 << 30, plan_bytes(df) // bytes_each))
 
 
+def other_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of ``df`` that don't bear one of the names; Spark resolves names without regard to case, so that counts for nothing."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- words and hashes
 def encode(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -193,4 +207,4 @@ def _empty(schema: str) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
-__all__ = ["cleanup", "materialize", "Hashes", "answer", "ask", "bucket_of", "encode", "meet", "mix", "n_buckets", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]
+__all__ = ["cleanup", "materialize", "Hashes", "answer", "ask", "bucket_of", "encode", "fresh", "meet", "mix", "n_buckets", "other_columns", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]

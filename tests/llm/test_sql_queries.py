@@ -9,7 +9,7 @@ from graphloom.llm import queries, sql
 from graphloom.llm.license_scan import scan_licenses
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.substring_dedup import dedup_substrings
-from graphloom.llm.url_filter import Rule, url_filter
+from graphloom.llm.url_filter import Rule, host_rule, url_filter
 
 
 def plain(rows):
@@ -80,9 +80,10 @@ def test_odd_urls(spark):
     con = duckdb.connect()
     con.execute("create table pages (page_id bigint, url varchar)")
     con.executemany("insert into pages values (?, ?)", URLS)
-    df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in URLS], "page_id long, url string, host string, verdict string")
+    df = spark.createDataFrame([(i, u, "clash", "clash", "kept") for i, u in URLS], "page_id long, url string, HOST string, Verdict string, best_of_rules string")
     rules = queries.BASE_RULES + queries.OWN_RULES
-    inline, joined = (url_filter(df, rules, inline_rules=n) for n in (100, 0))
+    inline, joined = (url_filter(df, rules, inline_bytes=n) for n in (100_000, 0))
+    assert inline.columns == joined.columns == ["page_id", "url", "best_of_rules", "host", "path", "rule_name", "rule_tier", "verdict"]
     assert plain(inline.collect()) == plain(joined.select(inline.columns).collect())
     from pyspark.sql import functions as F
 
@@ -97,6 +98,23 @@ def test_rule_tokens():
     assert Rule("", "banner", "block").tokens() == []
 
 
+def test_many_rules(spark):
+    """Thousands of rules, with and without tokens, against trying each on each URL."""
+    import re
+
+    rules = [host_rule(f"h{i}.example/", "block") for i in range(3000)] + [Rule(f"p{i}", f"/k{i}/*x{i % 7}", "block", i % 3) for i in range(500)] + [Rule("*zz*", "*zz*", "allow", 5)]
+    rows = [(i, f"http://a.h{i * 7}.example/k{i % 40}/q/x{i % 9}{'zz' if i % 11 == 0 else ''}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    compiled = [(r.tier, len(r.name), i, r.name, re.compile(r.regex())) for i, r in enumerate(rules)]
+    want = {}
+    for i, u in rows:
+        subject = "//" + u.split("://")[1]
+        fits = [c[:4] for c in compiled if c[4].search(subject)]
+        want[i] = max(fits)[3] if fits else None
+    for n in (4 << 20, 0):
+        assert {r["page_id"]: r["rule_name"] for r in url_filter(df, rules, inline_bytes=n).collect()} == want
+
+
 def test_no_urls(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert url_filter(df, queries.BASE_RULES).collect() == []
