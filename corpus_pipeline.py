@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet
 and reads again for the next one. All but the last return the columns of ``documents``.
+
+Every stage gives an empty table for an empty one, and judges repeated rows alike, each on its own but
+for near dedup, which keeps one row of an id. What becomes of nulls is said at each stage.
 """
 
 from __future__ import annotations
@@ -22,27 +25,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. A null text has no words and fails; a null id is no reason to go."""
     return quality_rules(docs, _table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of which no line is left go."""
+    """Documents without recurring lines; those of which no line is left go. A null or blank text has no lines and stays."""
     return dedup_lines(docs, **RECURRING).where("n_dropped = 0 or n_lines > n_dropped").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of least id. Rows without an id stay, and texts without words are no copies."""
     return drop_near_duplicates(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. A null text holds none, a null item is none."""
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (copies) and its figures."""
+    """The documents that the mix takes, with how often (copies) and its figures. A null source is a source, the last; a null text has size 0."""
     mixed = mix_sources(docs, carry=docs.columns).where("copies > 0")
     return mixed.select("row.*", "size", "source_size", "target", F.col("copies"), "taken")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import answer, ask, bucket_of, encode, meet, mix, n_buckets, write_chunks
+from .common import answer, ask, bucket_of, encode, meet, mix, n_buckets, other_columns, write_chunks
 
 LEAD, ALIKE, MIN_DOCS, MIN_WORDS = 3, 0.7, 5, 3
 #: What the query and the pipeline take: lines recur from two documents on; short ones, which may
@@ -199,9 +199,9 @@ def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: fl
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, alike: float = ALIKE, short_docs: int | None = None) -> DataFrame:
     """``docs``, all columns, with the kept lines as text, and n_lines, n_dropped (lines with words).
 
-    A column n_chars follows the text. Columns called n_lines or n_dropped give way to the results'.
+    A column n_chars follows the text. Columns called n_lines or n_dropped (in any case of letters) give way to the results'.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = other_columns(docs, ("n_lines", "n_dropped"))
     chunks = write_chunks(docs.select(*[f"`{c}`" for c in columns]), [f"`{c}`" for c in columns])
     buckets = n_buckets(chunks)
     short, most = short_docs is not None, max(min_docs, short_docs or 0)

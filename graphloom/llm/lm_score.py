@@ -42,7 +42,7 @@ from .common import answer, ask, bucket_of, encode, materialize, meet, mix, n_bu
 
 ORDERS = (2, 4, 6)
 LAST = max(ORDERS)
-CHUNK, PIECE = 16 << 20, 1 << 19
+CHUNK, PIECE = 12 << 20, 1 << 20
 BLOCK, SHARE = 32, 16
 #: Gates: highest order seen (0: none), three ranges of how sure it is.
 GATES = 3 * (len(ORDERS) + 1)
@@ -305,8 +305,9 @@ class Mixer:
             z += self.map.take(g)
             z *= y
             e = np.exp(np.negative(z, out=z), out=z)
-            np.log1p(e, out=loss[a:b])
-            e /= 1 + e
+            one = 1 + e  # e is e**-8 at least, so nothing is lost
+            np.log(one, out=loss[a:b])
+            e /= one
             e *= y  # the error: outcome minus probability
             # learn from the block, after it is scored; the more decisions a step sums, the smaller it is
             rate = RATE / (1 + STEADY * bytes_)
@@ -349,11 +350,8 @@ def _trains(table: pa.Table) -> list[bool]:
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many tokens each text has; the distinct ones' hashes, ascending; which of them each token is.
-
-    A hash takes in eight bytes of the word at a time, mixed in turn; the end, an empty word, is 0 bytes.
-    """
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and a hash of each word: it takes in eight bytes at a time, mixed in turn."""
     raw = b"".join(part for t in texts for part in (t, b" ")) + b"\0" * 8
     x = np.frombuffer(raw, np.uint8)
     blank = _SPACE.take(x)
@@ -361,7 +359,6 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(x) > 8 and not blank[0]:
         edge = np.append(0, edge)
     begin, size = edge[0:-1:2], edge[1::2] - edge[0:-1:2]  # the zeros after the last blank are an unclosed word
-    ends = np.cumsum([len(t) + 1 for t in texts])
     wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
     h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     at, done = np.arange(len(begin)), 0
@@ -371,19 +368,32 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[at] = mix(h[at] * np.uint64(3) + lane)
         done += 8
         at = at[size[at] > done]
-    own = np.searchsorted(ends, begin, "right")  # the text of each word
-    back, found = pd.factorize(np.append(h, mix(np.array([_END], np.uint64))))
+    own = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")  # the text of each word
+    return np.bincount(own, minlength=len(texts)), h
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens each text has; the distinct ones' hashes, ascending; which of them each token is."""
+    counts, hashes = [], []
+    held: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size > PIECE or i == len(texts) - 1:
+            n, h = _word_hashes(held)
+            counts.append(n)
+            hashes.append(h)
+            held, size = [], 0
+    back, found = pd.factorize(np.append(np.concatenate(hashes), mix(np.array([_END], np.uint64))))
     order = np.argsort(found)
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    back = place[back]
-    sizes = np.bincount(own, minlength=len(texts)) + 1
-    out = np.empty(len(back) - 1 + len(texts), np.int64)
-    last = np.cumsum(sizes) - 1
-    out[last] = back[-1]
+    sizes = np.concatenate(counts) + 1
+    out = np.full(int(sizes.sum()), place[back[-1]])
     words = np.ones(len(out), bool)
-    words[last] = False
-    out[words] = back[:-1]
+    words[np.cumsum(sizes) - 1] = False
+    out[words] = place[back[:-1]]
     return sizes, found[order], out
 
 

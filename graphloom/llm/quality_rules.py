@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, encode, materialize, mix, pieces, windows
+from .common import Hashes, encode, materialize, mix, other_columns, pieces, windows
 
 BITS = 17
 FAMILIES = 3
@@ -259,7 +259,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, min
     """``docs`` with the columns of RESULT; like-named columns of ``docs`` give way to them."""
     heads = train(docs, labels, per_class)
     names = [c.split()[0] for c in RESULT.split(", ")]
-    kept = [c for c in docs.columns if c not in names]
+    kept = other_columns(docs, names)
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

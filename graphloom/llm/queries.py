@@ -59,7 +59,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
+    return dedup_substrings(table(spark, sf_dir, "documents"), texts=False).drop("kept_text", "repeats")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,7 @@ def test_rare_templates_stay(spark):
 
 def test_removed_text_is_returned(odd_docs):
     rows = dedup_substrings(odd_docs).where("doc_id = 2 or doc_id = 1").orderBy("doc_id").collect()
+    assert [r["repeats"] for r in rows] == [[], [0, 300]]
     assert [r["n_removed"] for r in rows] == [0, 300] and rows[1]["kept_text"] == "" and len(rows[0]["kept_text"].split()) == 300
 
 
