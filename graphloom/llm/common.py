@@ -11,7 +11,8 @@ input. They use chunks instead: ``write_chunks`` packs documents into rows of a
 few MB (a written table, so chunk ids stay the same when a task is retried), each
 chunk sends every distinct item once to the item's bucket, the bucket answers in
 the order asked, and answers meet their chunk again. A key that a third of all
-rows share is so sent once a chunk, never once a row.
+rows share is so sent once a chunk, never once a row; and where chunks are many, groups of chunks
+merge what they send to a bucket, so no task takes the payloads of all chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.written import cleanup, materialize
 
@@ -176,8 +178,26 @@ def ask(chunks: DataFrame, emit: Callable[[pa.Table], Iterable[tuple[int, bytes]
     return chunks.mapInArrow(run, REQUEST)
 
 
-def answer(requests: DataFrame, reduce: Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """Answers of all buckets: ``reduce`` gets a bucket's chunk ids and payloads, gives (chunk_id, payload)."""
+#: Payloads that a bucket takes at once; where there are more chunks, groups of chunks come between them and the bucket.
+FAN_IN = 4096
+
+Reduce = Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]]
+
+
+def chunk_groups(chunks: DataFrame, fan_in: int) -> int:
+    """How many groups of chunks hold ``fan_in`` chunks each."""
+    return -(-chunks.count() // fan_in)
+
+
+def answer(requests: DataFrame, reduce: Reduce, groups: int = 1, merge: Callable[[list[bytes]], bytes] | None = None, share: Callable[[list[bytes], bytes | None], Iterable[bytes | None]] | None = None) -> DataFrame:
+    """Answers of all buckets: ``reduce`` gets a bucket's chunk ids and payloads, gives (chunk_id, payload).
+
+    With several ``groups`` of chunks a bucket never sees all its chunks: ``merge`` makes one payload of those of a group, the
+    bucket answers the groups, and ``share`` makes of a group's payloads and its answer (or none) each chunk's
+    answer (or none). So an item that every chunk has costs a task a group's payloads or all groups', not all chunks'.
+    """
+    if groups > 1:
+        return _answer_by_groups(requests, reduce, groups, merge, share)
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -187,6 +207,26 @@ def answer(requests: DataFrame, reduce: Callable[[list[int], list[bytes]], Itera
     return requests.groupBy("bucket").applyInArrow(run, REQUEST)
 
 
+def _answer_by_groups(requests: DataFrame, reduce: Reduce, groups: int, merge, share) -> DataFrame:
+    requests = materialize(requests.withColumn("of", F.pmod(F.xxhash64("chunk_id"), F.lit(groups))), "requests")
+
+    def combine(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_request_batch([(table["bucket"][0].as_py(), table["of"][0].as_py(), merge(table["payload"].to_pylist()))])])
+
+    top = materialize(answer(requests.groupBy("bucket", "of").applyInArrow(combine, REQUEST), reduce), "group-answers")
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple[int, int, bytes]] = []
+        if left.num_rows:
+            found = right["payload"][0].as_py() if right.num_rows else None
+            own = share(left["payload"].to_pylist(), found)
+            rows = [(left["bucket"][0].as_py(), c, p) for c, p in zip(left["chunk_id"].to_pylist(), own, strict=True) if p is not None]
+        return pa.Table.from_batches([_request_batch(rows)])
+
+    groups_ = top.where("chunk_id >= 0").withColumnRenamed("chunk_id", "of").groupBy("bucket", "of")
+    return requests.groupBy("bucket", "of").cogroup(groups_).applyInArrow(spread, REQUEST).unionByName(top.where("chunk_id < 0"))
+
+
 def meet(chunks: DataFrame, answers: DataFrame, apply: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
     """Bring each chunk together with its answers (bucket -> payload) and return ``apply``'s rows."""
     empty = _empty(schema)
@@ -207,4 +247,4 @@ def _empty(schema: str) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
-__all__ = ["cleanup", "materialize", "Hashes", "answer", "ask", "bucket_of", "encode", "fresh", "meet", "mix", "n_buckets", "other_columns", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]
+__all__ = ["cleanup", "materialize", "Hashes", "FAN_IN", "answer", "ask", "chunk_groups", "bucket_of", "encode", "fresh", "meet", "mix", "n_buckets", "other_columns", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]

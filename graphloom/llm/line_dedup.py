@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import answer, ask, bucket_of, encode, meet, mix, n_buckets, other_columns, write_chunks
+from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, meet, mix, n_buckets, other_columns, write_chunks
 
 LEAD, ALIKE, MIN_DOCS, MIN_WORDS = 3, 0.7, 5, 3
 #: What the query and the pipeline take: lines recur from two documents on; short ones, which may
@@ -121,8 +121,11 @@ def _by_bucket(lines: Lines, min_docs: int, buckets: int) -> Iterable[tuple[int,
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     t, i = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(counts))
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
-        payload = b"".join([np.uint32(b - a).tobytes(), key[a:b].tobytes(), leaf[a:b].tobytes(), size[a:b].astype(np.uint32).tobytes(), counts[a:b].astype(np.uint8).tobytes(), ids[i[a] : i[b]].tobytes(), token[t[a] : t[b]].tobytes()])
-        yield int(bucket[order[a]]), key[a:b], payload
+        yield int(bucket[order[a]]), key[a:b], _write(key[a:b], leaf[a:b], size[a:b], counts[a:b], ids[i[a] : i[b]], token[t[a] : t[b]])
+
+
+def _write(key: np.ndarray, leaf: np.ndarray, size: np.ndarray, counts: np.ndarray, ids: np.ndarray, token: np.ndarray) -> bytes:
+    return b"".join([np.uint32(len(key)).tobytes(), key.tobytes(), leaf.tobytes(), size.astype(np.uint32).tobytes(), counts.astype(np.uint8).tobytes(), ids.tobytes(), token.tobytes()])
 
 
 def _read(p: bytes) -> tuple[np.ndarray, ...]:
@@ -196,7 +199,37 @@ def recurring(chunks: list[int], payloads: list[bytes], min_docs: int, alike: fl
         start = stop
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, alike: float = ALIKE, short_docs: int | None = None) -> DataFrame:
+def merge_lines(payloads: list[bytes], most: int) -> bytes:
+    """The distinct lines of several payloads, in the order of keys, each with its ``most`` least ids."""
+    key, leaf, size, counts, ids, token = (np.concatenate(x) for x in zip(*[_read(p) for p in payloads], strict=True))
+    _, first, line = np.unique(key, return_index=True, return_inverse=True)
+    of_id = np.repeat(line, counts)
+    order = np.lexsort((ids, of_id))
+    of_id, ids = of_id[order], ids[order]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (of_id[1:] != of_id[:-1]) | (ids[1:] != ids[:-1])
+    of_id, ids = of_id[fresh], ids[fresh]
+    nth = np.arange(len(ids)) - np.searchsorted(of_id, of_id)
+    taken = nth < most
+    starts = np.cumsum(size) - size
+    return _write(key[first], leaf[first], size[first], np.bincount(of_id[taken], minlength=len(first)), ids[taken], token[_ragged(starts[first], size[first])])
+
+
+def share_lines(payloads: list[bytes], found: bytes | None) -> Iterable[bytes | None]:
+    """Of a group's answer each chunk's part."""
+    sent = [_read(p)[0] for p in payloads]
+    every = np.unique(np.concatenate(sent))
+    again, lead = np.zeros(len(every), bool), np.zeros(len(every), np.int64)
+    if found is not None:
+        n = (len(every) + 7) // 8
+        again = np.unpackbits(np.frombuffer(found, np.uint8, n), count=len(every)).astype(bool)
+        lead[again] = np.frombuffer(found, np.int64, -1, n)
+    for own in sent:
+        at = np.searchsorted(every, own)
+        yield np.packbits(again[at]).tobytes() + lead[at][again[at]].tobytes() if again[at].any() else None
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, alike: float = ALIKE, short_docs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """``docs``, all columns, with the kept lines as text, and n_lines, n_dropped (lines with words).
 
     A column n_chars follows the text. Columns called n_lines or n_dropped (in any case of letters) give way to the results'.
@@ -236,4 +269,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_
         return table.append_column("n_dropped", pa.array([len(gone.get(d, ())) for d in range(table.num_rows)], pa.int64()))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
-    return meet(chunks, answer(ask(chunks, send), reduce), drop, f"{ddl}, n_lines long, n_dropped long")
+    found = answer(ask(chunks, send), reduce, chunk_groups(chunks, fan_in), lambda payloads: merge_lines(payloads, most), share_lines)
+    return meet(chunks, found, drop, f"{ddl}, n_lines long, n_dropped long")

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answer, ask, bucket_of, encode, materialize, meet, mix, n_buckets, split_by, write_chunks
+from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, mix, n_buckets, split_by, write_chunks
 
 ORDERS = (2, 4, 6)
 LAST = max(ORDERS)
@@ -200,18 +200,12 @@ def unplanes(p: bytes) -> np.ndarray:
 
 def send_runs(keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterable[tuple[int, bytes]]:
     for bucket, at in by_bucket(keys, buckets):
-        packed = planes(np.diff(keys[at], prepend=np.uint64(0)))
-        yield bucket, np.uint32(len(packed)).tobytes() + packed + planes(n[at])
+        yield bucket, _write_counts(b"C", keys[at], n[at])
 
 
 def predict(code: Code, ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
     """For each chunk the stretched predictions on the paths of all bytes it sent, from the counts of all chunks."""
-    sent = []
-    for p in payloads:
-        m = int(np.frombuffer(p, np.uint32, 1)[0])
-        sent.append((np.cumsum(unplanes(p[4 : 4 + m])), unplanes(p[4 + m :]).astype(np.int64)))
-    keys, back = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([c for _, c in sent]), len(keys)).astype(np.int64)
+    sent, keys, back, n = _summed(payloads)
     context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)
     pair = (keys & np.uint64(0xFFFF)).astype(np.int32)  # the context's last byte is its lowest
     length = code.length[pair]
@@ -222,7 +216,7 @@ def predict(code: Code, ids: list[int], payloads: list[bytes]) -> Iterable[tuple
     value = stretched(np.bincount(place, n[which], len(found)) - ones, ones)[place]
     begin = np.cumsum(length) - length
     start = 0
-    for chunk, (own, _) in zip(ids, sent, strict=True):
+    for chunk, own in zip(ids, sent, strict=True):
         mine = back[start : start + len(own)]
         yield chunk, zstandard.compress(value[ragged(begin[mine], length[mine])].tobytes(), 1)
         start += len(own)
@@ -417,7 +411,51 @@ def pair_code(chunks: DataFrame) -> Code:
     return Code(pairs.reshape(256, 256))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def _read_counts(p: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and counts of a payload of tokens (T) or contexts (C)."""
+    m = int(np.frombuffer(p, np.uint32, 1, 1)[0])
+    if p[:1] == b"T":
+        return np.frombuffer(p, np.uint64, m, 5), np.frombuffer(zstandard.decompress(p[5 + 8 * m :]), np.int64)
+    return np.cumsum(unplanes(p[5 : 5 + m])), unplanes(p[5 + m :]).astype(np.int64)
+
+
+def _write_counts(kind: bytes, keys: np.ndarray, n: np.ndarray) -> bytes:
+    if kind == b"T":
+        return kind + np.uint32(len(keys)).tobytes() + keys.tobytes() + zstandard.compress(n.tobytes(), 1)
+    packed_ = planes(np.diff(keys, prepend=np.uint64(0)))
+    return kind + np.uint32(len(packed_)).tobytes() + packed_ + planes(n)
+
+
+def _summed(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """What each has sent; all keys, ascending; the place of each sent key among them, end to end; their counts in all."""
+    sent = [_read_counts(p) for p in payloads]
+    keys, back = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, back, np.concatenate([c for _, c in sent]))
+    return [k for k, _ in sent], keys, back, n
+
+
+def merge_counts(payloads: list[bytes]) -> bytes:
+    _, keys, _, n = _summed(payloads)
+    return _write_counts(payloads[0][:1], keys, n)
+
+
+def share_counts(code: Code, payloads: list[bytes], found: bytes | None) -> Iterable[bytes | None]:
+    """Of a group's answer each chunk's part: counts of its tokens, or predictions for its contexts."""
+    sent, keys, back, _ = _summed(payloads)
+    whole, start = zstandard.decompress(found), 0
+    tokens = payloads[0][:1] == b"T"
+    if not tokens:
+        length = code.length[(keys & np.uint64(0xFFFF)).astype(np.int32)]
+        begin = np.cumsum(length) - length
+    for own in sent:
+        mine = back[start : start + len(own)]
+        part = np.frombuffer(whole, np.int64)[mine] if tokens else np.frombuffer(whole, np.int8)[ragged(begin[mine], length[mine])]
+        yield zstandard.compress(part.tobytes(), 1)
+        start += len(own)
+
+
+def score_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of ``docs``: RESULT."""
 
     def note(table: pa.Table) -> bytes:
@@ -433,25 +471,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
         sizes, keys, back = _tokens(texts)
         n = np.bincount(back[np.repeat(np.array(trains), sizes)], minlength=len(keys)).astype(np.int64)
         for bucket, at in split_by(bucket_of(keys, buckets)):
-            yield bucket, b"T" + np.uint32(len(at)).tobytes() + keys[at].tobytes() + zstandard.compress(n[at].tobytes(), 1)
+            yield bucket, _write_counts(b"T", keys[at], n[at])
         for bucket, p in send_runs(*counted_keys(texts, trains), buckets):
-            yield buckets + bucket, b"C" + p
+            yield buckets + bucket, p
 
     def reduce(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
-        rest = [p[1:] for p in payloads]
-        return total(ids, rest) if payloads[0][:1] == b"T" else predict(code, ids, rest)
+        return total(ids, payloads) if payloads[0][:1] == b"T" else predict(code, ids, payloads)
 
     def total(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
-        sent = []
-        for p in payloads:
-            m = int(np.frombuffer(p, np.uint32, 1)[0])
-            sent.append((np.frombuffer(p, np.uint64, m, 4), np.frombuffer(zstandard.decompress(p[4 + 8 * m :]), np.int64)))
-        keys, back = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
-        np.add.at(n, back, np.concatenate([c for _, c in sent]))
+        sent, _, back, n = _summed(payloads)
         yield -1, np.array([(n > 0).sum(), n.sum()], np.int64).tobytes()
         start = 0
-        for chunk, (own, _) in zip(ids, sent, strict=True):
+        for chunk, own in zip(ids, sent, strict=True):
             yield chunk, zstandard.compress(n[back[start : start + len(own)]].tobytes(), 1)
             start += len(own)
 
@@ -460,7 +491,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
             vn = np.array([np.frombuffer(p.as_py(), np.int64) for p in batch["payload"]], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(vn[:, 0]), pa.array(vn[:, 1])], ["v", "n"])
 
-    answers = materialize(answer(ask(chunks, send), reduce), "counts")
+    found = answer(ask(chunks, send), reduce, chunk_groups(chunks, fan_in), merge_counts, lambda payloads, of: share_counts(code, payloads, of))
+    answers = materialize(found, "counts")
     row = answers.where("chunk_id = -1").mapInArrow(sizes, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     v, n_all = int(row[0] or 0), int(row[1] or 0)
 

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Hashes, answer, ask, bucket_of, encode, materialize, meet, n_buckets, split_by, windows, write_chunks
+from .common import FAN_IN, Hashes, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, n_buckets, split_by, windows, write_chunks
 
 LENGTH, ANCHOR = 20, 8
 _LAST = np.iinfo(np.int64).max  # the place of a null doc_id
@@ -83,17 +83,47 @@ def _anchors(table: pa.Table, buckets: int, length: int, k: int) -> Iterable[tup
         yield bucket, found[at]
 
 
+def _seeds(found: np.ndarray, several: np.ndarray | None = None) -> bytes:
+    """Ascending anchors, and whether more than one chunk is known to have each."""
+    return np.uint32(len(found)).tobytes() + found.tobytes() + np.packbits(np.zeros(len(found), bool) if several is None else several).tobytes()
+
+
+def _read_seeds(p: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(p, np.uint32, 1)[0])
+    return np.frombuffer(p, np.uint64, n, 4), np.unpackbits(np.frombuffer(p, np.uint8, -1, 4 + 8 * n), count=n).astype(bool)
+
+
+def _counted_seeds(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What each has sent; all anchors, ascending; which of them more than one chunk has."""
+    sent = [_read_seeds(p) for p in payloads]
+    every, back, count = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True, return_counts=True)
+    several = count > 1
+    several[back[np.concatenate([x for _, x in sent])]] = True
+    return [k for k, _ in sent], every, several
+
+
 def _recurring(chunks: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
     """One bit for each anchor that a chunk has sent: another chunk has it too."""
-    sent = [np.frombuffer(p, np.uint64) for p in payloads]
-    every, count = np.unique(np.concatenate(sent), return_counts=True, sorted=True)
-    several = every[count > 1]
+    sent, every, several = _counted_seeds(payloads)
     for chunk, own in zip(chunks, sent, strict=True):
-        again = np.isin(own, several, assume_unique=True)
+        again = several[np.searchsorted(every, own)]
         if again.any():
             yield chunk, np.packbits(again).tobytes()
 
 
+def _merge_seeds(payloads: list[bytes]) -> bytes:
+    _, every, several = _counted_seeds(payloads)
+    return _seeds(every, several)
+
+
+def _share_seeds(payloads: list[bytes], found: bytes | None) -> Iterable[bytes | None]:
+    sent, every, _ = _counted_seeds(payloads)
+    bits = None if found is None else np.unpackbits(np.frombuffer(found, np.uint8), count=len(every)).astype(bool)
+    for own in sent:
+        again = None if bits is None else bits[np.searchsorted(every, own)]
+        yield np.packbits(again).tobytes() if again is not None and again.any() else None
+
+
 _RUN = np.dtype([("doc_id", "<i8"), ("anchor", "<u8"), ("place", "<i4"), ("n", "<u4")])
 
 
@@ -124,47 +154,74 @@ def _send(w: Windows, picked: np.ndarray) -> bytes:
     return np.uint32(len(runs)).tobytes() + runs.tobytes() + w.hash[picked].tobytes()
 
 
+class _Sent:
+    """The windows that chunks have sent to a bucket, end to end; lead: of each the earliest equal one (in anchor and hash)."""
+
+    def __init__(self, payloads: list[bytes]):
+        hashes, anchors, ids, places, counts = [], [], [], [], []
+        for p in payloads:
+            n = int(np.frombuffer(p, np.uint32, 1)[0])
+            runs = np.frombuffer(p, _RUN, n, 4)
+            size = runs["n"].astype(np.int64)
+            hashes.append(np.frombuffer(p, np.uint64, -1, 4 + n * _RUN.itemsize))
+            anchors.append(np.repeat(runs["anchor"], size))
+            ids.append(np.repeat(runs["doc_id"], size))
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            places.append(np.repeat(runs["place"].astype(np.int64), size) + step)
+            counts.append(len(hashes[-1]))
+        self.hash, self.anchor, self.doc_id, self.place = (np.concatenate(x) for x in (hashes, anchors, ids, places))
+        self.end = np.cumsum(counts)
+        self.begin = self.end - counts
+        order = np.lexsort((self.place, self.doc_id, self.anchor, self.hash))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.hash[order[1:]] != self.hash[order[:-1]]) | (self.anchor[order[1:]] != self.anchor[order[:-1]])
+        self.leads = order[new]  # in the order of hashes
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        lead = self.leads[self.which]
+        self.later = (self.doc_id != self.doc_id[lead]) | (self.place != self.place[lead])
+
+
 def _earlier(chunks: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
-    """One bit for each window that a chunk has sent: an equal one (in anchor and hash) starts earlier elsewhere."""
-    hashes, anchors, ids, places, counts = [], [], [], [], []
-    for p in payloads:
-        n = int(np.frombuffer(p, np.uint32, 1)[0])
-        runs = np.frombuffer(p, _RUN, n, 4)
-        size = runs["n"].astype(np.int64)
-        hashes.append(np.frombuffer(p, np.uint64, -1, 4 + n * _RUN.itemsize))
-        anchors.append(np.repeat(runs["anchor"], size))
-        ids.append(np.repeat(runs["doc_id"], size))
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        places.append(np.repeat(runs["place"].astype(np.int64), size) + step)
-        counts.append(len(hashes[-1]))
-    h, g, d, s = (np.concatenate(x) for x in (hashes, anchors, ids, places))
-    order = np.lexsort((s, d, g, h))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
-    lead = order[new][np.cumsum(new) - 1]
-    later = np.zeros(len(order), bool)
-    later[order] = (d[order] != d[lead]) | (s[order] != s[lead])
-    end = np.cumsum(counts)
-    for chunk, a, b in zip(chunks, end - counts, end, strict=True):
-        if later[a:b].any():
-            yield chunk, np.packbits(later[a:b]).tobytes()
+    """One bit for each window that a chunk has sent: an equal one starts earlier elsewhere."""
+    sent = _Sent(payloads)
+    for chunk, a, b in zip(chunks, sent.begin, sent.end, strict=True):
+        if sent.later[a:b].any():
+            yield chunk, np.packbits(sent.later[a:b]).tobytes()
+
+
+def _merge_windows(payloads: list[bytes]) -> bytes:
+    """The earliest of equal windows, each a run of its own."""
+    sent = _Sent(payloads)
+    runs = np.zeros(len(sent.leads), _RUN)
+    runs["doc_id"], runs["place"], runs["anchor"], runs["n"] = sent.doc_id[sent.leads], sent.place[sent.leads], sent.anchor[sent.leads], 1
+    return np.uint32(len(runs)).tobytes() + runs.tobytes() + sent.hash[sent.leads].tobytes()
+
+
+def _share_windows(payloads: list[bytes], found: bytes | None) -> Iterable[bytes | None]:
+    sent = _Sent(payloads)
+    later = sent.later
+    if found is not None:
+        later = later | np.unpackbits(np.frombuffer(found, np.uint8), count=len(sent.leads)).astype(bool)[sent.which]
+    for a, b in zip(sent.begin, sent.end, strict=True):
+        yield np.packbits(later[a:b]).tobytes() if later[a:b].any() else None
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, repeats array<int>"
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, texts: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, texts: bool = True, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of ``docs``: RESULT; kept_text is null if ``texts`` is false.
 
     repeats: the maximal repeats that went, as first word, end, first word, end ... (words from 0).
     """
     chunks = write_chunks(docs, ["doc_id", "text"])
-    buckets = n_buckets(chunks)
+    buckets, groups = n_buckets(chunks), chunk_groups(chunks, fan_in)
 
     def anchors(table: pa.Table) -> Iterable[tuple[int, bytes]]:
-        return ((b, x.tobytes()) for b, x in _anchors(table, buckets, length, k))
+        return ((b, _seeds(x)) for b, x in _anchors(table, buckets, length, k))
 
-    seeds = answer(ask(chunks, anchors), _recurring)
+    seeds = answer(ask(chunks, anchors), _recurring, groups, _merge_seeds, _share_seeds)
 
     def extend(chunk_id: int, table: pa.Table, recurs: dict[int, bytes]) -> pa.Table:
         w = Windows(table, length, k)
@@ -176,7 +233,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, tex
         return pa.table({"bucket": pa.array(b, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "payload": pa.array(p, pa.binary())})
 
     requests = materialize(meet(chunks, seeds, extend, "bucket long, chunk_id long, payload binary"), "windows")
-    found = answer(requests.where("bucket >= 0"), _earlier).unionByName(requests.where("bucket < 0"))
+    found = answer(requests.where("bucket >= 0"), _earlier, groups, _merge_windows, _share_windows).unionByName(requests.where("bucket < 0"))
 
     def remove(chunk_id: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         w = Windows(table, length, k)
