@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
 
@@ -60,7 +62,8 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, min_
     templates = BASE + NOTICES if templates is None else templates
     spark = docs.sparkSession
     index = [(i, t.label, t.base, p, " ".join(g), len(w) - K + 1) for i, t in enumerate(templates) for w in [t.words()] for p, g in enumerate(zip(*[w[j:] for j in range(K)], strict=False))]
-    # as many rows as the templates have words: a bound that no corpus moves
+    # as many rows as the templates have words: a bound that no corpus moves, broadcast up to a million
+    small = F.broadcast if len(index) <= 1_000_000 else (lambda df: df)
     index = spark.createDataFrame(index, "template int, label string, base boolean, at int, gram string, size int").withColumn("hash", F.xxhash64("gram"))
 
     text = F.translate(F.coalesce(F.col("`text`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,8 +71,8 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, min_
     words = keyed.select("doc_id", "print", F.regexp_extract_all("low", F.lit(TOKEN), F.lit(0)).alias("w"))
     grams = F.expr("zip_with(w, slice(w, 2, size(w)), (a, b) -> a || ' ' || b)")
     rolled = words.select("doc_id", "print", F.posexplode(grams).alias("pos", "gram")).where("gram is not null").withColumn("hash", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(index), ["hash", "gram"]).select("doc_id", "print", "template", "label", "base", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
-    hits = hits.distinct()  # repeated rows
+    hits = rolled.join(small(index), ["hash", "gram"]).select("doc_id", "print", "template", "label", "base", "size", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = materialize(hits.distinct(), "license-hits")  # repeated rows; texts are tokenized once for phrases and notices
 
     votes = hits.groupBy("doc_id", "print", "template", "label", "base", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats"))
     base = votes.where("base and votes = size")
