@@ -204,6 +204,22 @@ def test_training_learns(spark, model):
     assert run(25) > max(0.3, run(0))
 
 
+def test_training_in_blocks(spark):
+    """Three blocks: every entity keeps one vector, every pair of blocks meets, and it learns."""
+    links = [(f"a{i}", "likes", f"b{i % 4}") for i in range(40)] + [(f"b{i}", "near", f"b{(i + 1) % 4}") for i in range(4)]
+    df = spark.createDataFrame(links, "head string, relation string, tail string")
+    test = df.where("relation = 'likes'").limit(10)
+    e, r = kge.train(df, "distmult", dim=8, rounds=8, rate=0.3, block_entities=15)
+    rows = e.collect()
+    assert len(rows) == len({x["id"] for x in rows}) == 44 and {x["id"] for x in r.collect()} == {"likes", "near"}
+    again = {x["id"]: x["vector"] for x in kge.train(df.repartition(3), "distmult", dim=8, rounds=8, rate=0.3, block_entities=15)[0].collect()}
+    assert all(np.allclose(x["vector"], again[x["id"]]) for x in rows)
+    start = kge.rank_metrics(kge.ranks(test, *kge.train(df, "distmult", dim=8, rounds=0), df, "distmult")).first()["mrr"]
+    assert kge.rank_metrics(kge.ranks(test, e, r, df, "distmult")).first()["mrr"] > max(0.3, start)
+    small = sorted(map(tuple, kge.ranks(test, e, r, df, "distmult", block=3).collect()))
+    assert small == sorted(map(tuple, kge.ranks(test, e, r, df, "distmult").collect()))
+
+
 # ---------------------------------------------------------------- questions
 def test_questions_and_evidence(spark):
     q = spark.createDataFrame([(1, "Who is Ann Lee?"), (2, "What happens in Fork"), (3, "who portrays Ann Lee"), (4, "zz")], "question_id long, question string")
