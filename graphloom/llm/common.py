@@ -83,6 +83,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end, each followed by a line end; of each word its beginning there, its size, a 64-bit hash.
+
+    A hash takes in eight bytes of the word at a time, mixed in turn.
+    """
+    raw = b"".join(part for t in texts for part in (t, b"\n")) + b"\0" * 8
+    x = np.frombuffer(raw, np.uint8)
+    blank = _BLANK.take(x)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(x) > 8 and not blank[0]:
+        edge = np.append(0, edge)
+    begin, size = edge[0:-1:2], edge[1::2] - edge[0:-1:2]  # the zeros after the last blank are an unclosed word
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, done = np.arange(len(begin)), 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        lane = wide[begin[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[at] = mix(h[at] * np.uint64(3) + lane)
+        done += 8
+        at = at[size[at] > done]
+    return x[:-8], begin, size, h
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive values of ``h`` (polynomial, then mixed)."""
     n = len(h) - k + 1
@@ -247,4 +274,4 @@ def _empty(schema: str) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
-__all__ = ["cleanup", "materialize", "Hashes", "FAN_IN", "answer", "ask", "chunk_groups", "bucket_of", "encode", "fresh", "meet", "mix", "n_buckets", "other_columns", "pieces", "plan_bytes", "split_by", "unpack", "windows", "write_chunks", "WORD"]
+__all__ = ["cleanup", "materialize", "Hashes", "FAN_IN", "answer", "ask", "chunk_groups", "bucket_of", "encode", "fresh", "meet", "mix", "n_buckets", "other_columns", "pieces", "plan_bytes", "split_by", "unpack", "windows", "words_of", "write_chunks", "WORD"]

@@ -26,10 +26,9 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, meet, mix, n_buckets, other_columns, write_chunks
+from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, meet, mix, n_buckets, other_columns, words_of, write_chunks
 
 LEAD, ALIKE, MIN_DOCS, MIN_WORDS = 3, 0.7, 5, 3
 #: What the query and the pipeline take: lines recur from two documents on; short ones, which may
@@ -37,40 +36,36 @@ LEAD, ALIKE, MIN_DOCS, MIN_WORDS = 3, 0.7, 5, 3
 RECURRING = {"min_docs": 2, "short_docs": 5}
 VARIABLE = 0
 _LAST = np.iinfo(np.int64).max  # the place of a null doc_id
-_DIGIT = bytes(range(48, 58))
-_EXACT = bytes.maketrans(_DIGIT, bytes(range(0xF6, 0x100)))  # bytes that UTF-8 doesn't have, so digits count
+_DIGITS = np.isin(np.arange(256), np.arange(48, 58))
 
 
-class Tokens(dict):
-    """32-bit hash of a word, VARIABLE for those with a digit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        plain = len(word.translate(None, _DIGIT)) == len(word)
-        self[word] = h = (xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF or 1) if plain else VARIABLE
-        return h
+class Lines:
+    """The lines of a chunk that have templates (or, with ``short``, any word): their tokens, documents and keys.
 
+    Tokens are 32-bit hashes of words, VARIABLE for those with a digit; in lines of fewer than ``min_words`` words digits count.
+    doc, number: of each line the row it stands in and which of its lines it is. n_lines: of each row the lines with words.
+    """
 
-class Lines:
-    """The lines of a chunk that are long enough: their tokens, documents and keys."""
-
-    def __init__(self, table: pa.Table, tokens: Tokens, min_words: int, short: bool = False):
-        ids = [_LAST if i is None else i for i in table["doc_id"].to_pylist()]
-        self.raw = [None if t is None else encode(t).split(b"\n") for t in table["text"].to_pylist()]
-        words: list[bytes] = []
-        sizes, docs, self.where = [], [], []
-        for d, lines in enumerate(self.raw):
-            for i, line in enumerate(lines or ()):
-                own = line.split()
-                if len(own) >= min_words or short and own:
-                    words += own if len(own) >= min_words else [w.translate(_EXACT) for w in own]
-                    sizes.append(len(own))
-                    docs.append(ids[d])
-                    self.where.append((d, i))
-        self.size = np.array(sizes, np.int64)
-        self.doc_id = np.array(docs, np.int64)
-        self.token = np.fromiter(map(tokens.__getitem__, words), np.uint32, len(words))
+    def __init__(self, table: pa.Table, min_words: int, short: bool = False):
+        ids = np.array([_LAST if i is None else i for i in table["doc_id"].to_pylist()], np.int64)
+        texts = [encode(t) for t in table["text"].to_pylist()]
+        x, begin, size, h = words_of(texts)
+        ends = np.flatnonzero(x == 10)  # each text is followed by one too
+        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1)  # each text's last line
+        line = np.searchsorted(ends, begin)
+        n_words = np.bincount(line, minlength=len(ends))
+        doc = np.searchsorted(last, np.arange(len(ends)))
+        self.n_lines = np.bincount(doc[n_words > 0], minlength=len(texts))
+        picked = n_words >= (1 if short else max(1, min_words))
+        digits = np.append(0, np.cumsum(_DIGITS.take(x)))
+        token = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        token[token == VARIABLE] = 1
+        token[(digits[begin + size] > digits[begin]) & (n_words[line] >= min_words)] = VARIABLE
+        self.token = token[picked[line]]
+        self.size = n_words[picked]
+        self.doc = doc[picked]
+        self.number = np.flatnonzero(picked) - np.append(0, last[:-1] + 1)[self.doc] if len(texts) else self.doc
+        self.doc_id = ids[self.doc]
         self.start = np.cumsum(self.size) - self.size
         if not len(self.size):
             self.key = self.leaf = np.zeros(0, np.uint64)
@@ -240,32 +235,36 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_
     short, most = short_docs is not None, max(min_docs, short_docs or 0)
 
     def send(table: pa.Table) -> Iterable[tuple[int, bytes]]:
-        return ((b, p) for b, _, p in _by_bucket(Lines(table, Tokens(), min_words, short), most, buckets))
+        return ((b, p) for b, _, p in _by_bucket(Lines(table, min_words, short), most, buckets))
 
     def reduce(ids: list[int], payloads: list[bytes]) -> Iterable[tuple[int, bytes]]:
         return recurring(ids, payloads, min_docs, alike, min_words, short_docs or 0)
 
     def drop(chunk_id: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        lines = Lines(table, Tokens(), min_words, short)
-        keep_in: dict[int, int] = {}  # key of a recurring line -> the document that keeps it
+        lines = Lines(table, min_words, short)
+        recurs, leads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]  # keys of recurring lines, the documents that keep them
         for bucket, keys, _ in _by_bucket(lines, most, buckets):
             if bucket in got:
-                bits = np.unpackbits(np.frombuffer(got[bucket], np.uint8, (len(keys) + 7) // 8), count=len(keys)).astype(bool)
-                keep_in.update(zip(keys[bits].tolist(), np.frombuffer(got[bucket], np.int64, -1, (len(keys) + 7) // 8).tolist(), strict=True))
+                n = (len(keys) + 7) // 8
+                recurs.append(keys[np.unpackbits(np.frombuffer(got[bucket], np.uint8, n), count=len(keys)).astype(bool)])
+                leads.append(np.frombuffer(got[bucket], np.int64, -1, n))
+        keys, first = np.unique(np.concatenate(recurs), return_index=True)
         gone: dict[int, set[int]] = {}
-        for (d, i), key, doc_id in zip(lines.where, lines.key.tolist(), lines.doc_id.tolist(), strict=True):
-            if keep_in.get(key, doc_id) != doc_id:
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, lines.key), len(keys) - 1)
+            out = (keys[at] == lines.key) & (np.concatenate(leads)[first][at] != lines.doc_id)
+            for d, i in zip(lines.doc[out].tolist(), lines.number[out].tolist(), strict=True):
                 gone.setdefault(d, set()).add(i)
         texts = table["text"].to_pylist()
         for d, out in gone.items():
-            texts[d] = b"\n".join(x for i, x in enumerate(lines.raw[d]) if i not in out).decode("utf-8", "surrogatepass")
+            texts[d] = "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in out)
         table = table.set_column(table.column_names.index("text"), "text", pa.array(texts, table.schema.field("text").type))
         if "n_chars" in table.column_names:
             n = table["n_chars"].to_pylist()
             for d in gone:
                 n[d] = len(texts[d])
             table = table.set_column(table.column_names.index("n_chars"), "n_chars", pa.array(n, table.schema.field("n_chars").type))
-        table = table.append_column("n_lines", pa.array([sum(1 for x in raw or () if x.strip()) for raw in lines.raw], pa.int64()))
+        table = table.append_column("n_lines", pa.array(lines.n_lines, pa.int64()))
         return table.append_column("n_dropped", pa.array([len(gone.get(d, ())) for d in range(table.num_rows)], pa.int64()))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)

@@ -5,7 +5,7 @@ send each distinct token once, with its count in their training documents, to it
 and get back its count in all; nothing per token of a document is shuffled.
 
 Model. The lower-cased text's bytes, and a final 0, are coded by binary codes, one for each byte
-before (Huffman codes of the training documents' byte pairs). Each binary decision is predicted by several
+before, and for each of the commonest pairs before (Huffman codes of the training documents' bytes). Each binary decision is predicted by several
 predictors, one for each order: the counts of both outcomes, over all training documents, after the last
 2, 4 or 6 bytes at the place in the code. Stretched predictions, which grow with their counts, are mixed with weights
 chosen by a gate (the highest order that has seen the context, and how sure it is), and the mixed one
@@ -17,7 +17,7 @@ from, so the product of all decisions' probabilities is the text's probability.
 Counts are kept for every distinct context, under exact keys, so no two contexts share one and
 the model grows with the training documents. Contexts live in buckets as the tokens do: a chunk
 sends each distinct context and next byte once, with its count, and gets back the
-predictions on that byte's path. Nothing of the model but the codes of byte pairs (a fixed size) is
+predictions on that byte's path. Nothing of the model but the codes of bytes (a fixed size) is
 broadcast or sent to the driver. Within a chunk the texts are gone through in pieces, a long text in several.
 
 Defined results: a null text is empty (one token, its end). A null doc_id has no crc32; it is a training
@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, mix, n_buckets, split_by, write_chunks
+from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, mix, n_buckets, split_by, words_of, write_chunks
 
 ORDERS = (2, 4, 6)
 LAST = max(ORDERS)
-CHUNK, PIECE = 12 << 20, 1 << 20
+CHUNK, PIECE = 12 << 20, 1 << 19
 BLOCK, SHARE = 32, 16
 #: Gates: highest order seen (0: none), three ranges of how sure it is.
 GATES = 3 * (len(ORDERS) + 1)
@@ -61,17 +61,23 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- the codes of bytes
 class Code:
-    """A binary code of the next byte for each byte before it, from counts of byte pairs (256 x 256).
+    """Binary codes of the next byte: one for each byte before it, one for each of the commonest pairs before it.
 
-    By pair (the byte before * 256 + the byte): length and beginning of its path; of all paths: nodes and outcomes.
+    pairs: counts of byte pairs (256 x 256). after: by pair of bytes (the earlier * 256 + the later), counts of what follows.
+    By ``at``: length and beginning of a byte's path; of all paths: nodes and outcomes.
     """
 
-    def __init__(self, pairs: np.ndarray):
-        alone = pairs.sum(0) + 1.0
-        alone /= alone.sum()
+    def __init__(self, pairs: np.ndarray, after: dict[int, np.ndarray]):
+        one = pairs.sum(0) + 1.0
+        one /= one.sum()
+        weights = [row + 4 * one + 1e-4 for row in pairs]
+        self.state = np.arange(1 << 16, dtype=np.int32) & 255
+        for k, (before, counts) in enumerate(sorted(after.items())):
+            near = weights[before & 255]
+            weights.append(counts + 4 * near / near.sum() + 1e-4)
+            self.state[before] = 256 + k
         length, nodes, outcomes = [], [], []
-        for before in range(256):
-            weight = pairs[before] + 4 * alone + 1e-4
+        for weight in weights:
             heap = [(w, b) for b, w in enumerate(weight.tolist())]
             heapq.heapify(heap)
             tree: list[tuple[int, int]] = []
@@ -94,11 +100,31 @@ class Code:
         self.length, self.node, self.outcome = np.array(length), np.array(nodes, np.uint8), np.array(outcomes, bool)
         self.begin = np.cumsum(self.length) - self.length
 
+    def at(self, runs: np.ndarray) -> np.ndarray:
+        """Of numbers whose lowest byte is the one to code, and the next two those before it: its place in length and begin."""
+        return self.state.take(((runs >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)) * 256 + (runs & np.uint64(0xFF)).astype(np.int32)
 
-def byte_pairs(texts: list[bytes]) -> np.ndarray:
-    """Counts of all pairs of neighbouring bytes; a 0 stands before and after each text."""
-    x = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8) if texts else np.zeros(0, np.uint8)
-    return np.bincount(x[:-1].astype(np.int32) * 256 + x[1:], minlength=1 << 16) if len(x) else np.zeros(1 << 16, np.int64)
+
+#: So many pairs of bytes have a code of their own.
+PAIRS = 256
+
+
+def byte_triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of three bytes, as numbers, and their counts; two 0s stand before each text and one after it."""
+    x = np.frombuffer(b"".join(part for t in texts for part in (b"\0\0", t, b"\0")), np.uint8).astype(np.uint32)
+    own = np.concatenate([np.ones(0, bool), *[np.arange(len(t) + 3) >= 2 for t in texts]])
+    triples = np.sort((x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:])[own[2:]]) if len(x) else x
+    new = np.flatnonzero(np.append(True, triples[1:] != triples[:-1])) if len(triples) else np.zeros(0, np.int64)
+    return triples[new], np.diff(np.append(new, len(triples)))
+
+
+def code_of(texts: list[bytes]) -> Code:
+    """The code that these training texts give."""
+    triples, n = byte_triples(texts)
+    pairs = np.bincount(triples & 0xFFFF, n, 1 << 16).reshape(256, 256)
+    total = np.bincount(triples >> 8, n, 1 << 16)
+    top = np.argsort(-total, kind="stable")[:PAIRS]
+    return Code(pairs, {int(c): np.bincount(triples[own] & 0xFF, n[own], 256) for c in top.tolist() if total[c] for own in [triples >> 8 == c]})
 
 
 # ---------------------------------------------------------------- contexts
@@ -207,7 +233,7 @@ def predict(code: Code, ids: list[int], payloads: list[bytes]) -> Iterable[tuple
     """For each chunk the stretched predictions on the paths of all bytes it sent, from the counts of all chunks."""
     sent, keys, back, n = _summed(payloads)
     context = np.cumsum(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) != 0)
-    pair = (keys & np.uint64(0xFFFF)).astype(np.int32)  # the context's last byte is its lowest
+    pair = code.at(keys)  # the context's last byte is its lowest
     length = code.length[pair]
     at = ragged(code.begin[pair], length)
     which = np.repeat(np.arange(len(keys)), length)
@@ -235,7 +261,7 @@ def packed(code: Code, runs: np.ndarray, at: list[np.ndarray], begin: np.ndarray
 
     ``most`` runs are worked on at a time.
     """
-    pair = (runs & np.uint64(0xFFFF)).astype(np.int32)
+    pair = code.at(runs)
     length = code.length.take(pair)
     first = np.cumsum(length) - length
     out = np.empty((int(length.sum()), 4), np.int8)
@@ -341,27 +367,9 @@ def _trains(table: pa.Table) -> list[bool]:
     return [not held_out(i) for i in table["doc_id"].to_pylist()]
 
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """How many words each text has, and a hash of each word: it takes in eight bytes at a time, mixed in turn."""
-    raw = b"".join(part for t in texts for part in (t, b" ")) + b"\0" * 8
-    x = np.frombuffer(raw, np.uint8)
-    blank = _SPACE.take(x)
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(x) > 8 and not blank[0]:
-        edge = np.append(0, edge)
-    begin, size = edge[0:-1:2], edge[1::2] - edge[0:-1:2]  # the zeros after the last blank are an unclosed word
-    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
-    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    at, done = np.arange(len(begin)), 0
-    while len(at):
-        left = np.minimum(size[at] - done, 8).astype(np.uint64)
-        lane = wide[begin[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
-        h[at] = mix(h[at] * np.uint64(3) + lane)
-        done += 8
-        at = at[size[at] > done]
+    """How many words each text has, and a hash of each word."""
+    _, begin, _, h = words_of(texts)
     own = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")  # the text of each word
     return np.bincount(own, minlength=len(texts)), h
 
@@ -394,21 +402,38 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def pair_code(chunks: DataFrame) -> Code:
-    """The code of the training documents' byte pairs, which chunks carry counts of. The driver gets 65,536 sums at most."""
+def _note(n: np.ndarray, triples: np.ndarray) -> bytes:
+    return zstandard.compress(np.uint32(len(n)).tobytes() + triples.astype(np.uint32).tobytes() + n.astype(np.int64).tobytes(), 1)
+
+
+def corpus_code(chunks: DataFrame) -> Code:
+    """The code of the training documents' bytes, from the notes of chunks.
+
+    The driver gets 65,536 sums of pairs at most, the ``PAIRS`` commonest pairs, and 256 sums for each of these.
+    """
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(1 << 16, np.int64)
+        sums = np.zeros(1 << 24, np.int64)
         for batch in batches:
             for note in batch["note"]:
-                pairs += np.frombuffer(zstandard.decompress(note.as_py()), np.int64)
-        found = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pairs[found])], ["pair", "n"])
-
-    pairs = np.zeros(1 << 16, np.float64)
-    for row in chunks.select("note").mapInArrow(total, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+                raw = zstandard.decompress(note.as_py())
+                m = int(np.frombuffer(raw, np.uint32, 1)[0])
+                sums[np.frombuffer(raw, np.uint32, m, 4)] += np.frombuffer(raw, np.int64, m, 4 + 4 * m)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found])], ["triple", "n"])
+
+    triples = chunks.select("note").mapInArrow(total, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    triples = materialize(triples, "triples")
+    pairs = np.zeros(1 << 16)
+    for row in triples.groupBy((F.col("triple") % 65_536).alias("pair")).agg(F.sum("n").alias("n")).collect():
         pairs[row["pair"]] = row["n"]
-    return Code(pairs.reshape(256, 256))
+    before = F.floor(F.col("triple") / 256).cast("long").alias("before")
+    top = [r["before"] for r in triples.groupBy(before).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "before").limit(PAIRS).collect()]
+    after: dict[int, np.ndarray] = {c: np.zeros(256) for c in top}
+    if top:
+        for row in triples.withColumn("before", before).where(F.col("before").isin(top)).collect():
+            after[row["before"]][row["triple"] % 256] = row["n"]
+    return Code(pairs.reshape(256, 256), after)
 
 
 def _read_counts(p: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +471,7 @@ def share_counts(code: Code, payloads: list[bytes], found: bytes | None) -> Iter
     whole, start = zstandard.decompress(found), 0
     tokens = payloads[0][:1] == b"T"
     if not tokens:
-        length = code.length[(keys & np.uint64(0xFFFF)).astype(np.int32)]
+        length = code.length[code.at(keys)]
         begin = np.cumsum(length) - length
     for own in sent:
         mine = back[start : start + len(own)]
@@ -459,10 +484,11 @@ def score_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of ``docs``: RESULT."""
 
     def note(table: pa.Table) -> bytes:
-        return zstandard.compress(byte_pairs([t for t, own in zip(_lower(table), _trains(table), strict=True) if own]).tobytes(), 1)
+        triples, n = byte_triples([t for t, own in zip(_lower(table), _trains(table), strict=True) if own])
+        return _note(n, triples)
 
     chunks = write_chunks(docs, ["doc_id", "text"], CHUNK, note)
-    code = pair_code(chunks)
+    code = corpus_code(chunks)
     buckets = n_buckets(chunks)
 
     # buckets from 0 are those of tokens, from ``buckets`` those of contexts
@@ -511,8 +537,8 @@ def score_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         got = {b: p for b, p in got.items() if b >= buckets}
         runs, _ = all_runs(texts)
         keys, at = keys_of(runs)
-        length = code.length[(keys & np.uint64(0xFFFF)).astype(np.int32)]
-        begin = (np.cumsum(length) - length).astype(np.int64)
+        length = code.length[code.at(keys)]
+        begin = np.cumsum(length) - length
         value = np.empty(int(length.sum()), np.int8)
         for bucket, mine in by_bucket(keys, buckets):
             value[ragged(begin[mine], length[mine])] = np.frombuffer(zstandard.decompress(got[buckets + bucket]), np.int8)

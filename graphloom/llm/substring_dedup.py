@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import FAN_IN, Hashes, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, n_buckets, split_by, windows, write_chunks
+from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, materialize, meet, n_buckets, split_by, windows, words_of, write_chunks
 
 LENGTH, ANCHOR = 20, 8
 _LAST = np.iinfo(np.int64).max  # the place of a null doc_id
@@ -46,12 +46,11 @@ class Windows:
     """All windows of a chunk, in the chunk's order, with their anchors."""
 
     def __init__(self, table: pa.Table, length: int, k: int):
-        self.words = [encode(t).split() for t in table["text"].to_pylist()]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.texts = [encode(t) for t in table["text"].to_pylist()]
+        _, begin, _, h = words_of(self.texts)
+        sizes = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in self.texts]), begin, "right"), minlength=len(self.texts))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        hashes = Hashes()
-        h = hashes.of([w for words in self.words for w in words])
         doc = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - length + 1))
         first = np.cumsum(np.maximum(0, sizes - length + 1)) - np.maximum(0, sizes - length + 1)
         self.at = self.starts[doc] + np.arange(len(doc)) - first[doc]  # in the chunk's words
@@ -250,8 +249,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, tex
         np.add.at(steps, w.at[gone] + length, -1)
         covered = np.cumsum(steps) > 0
         rows = []
-        for words, a, b in zip(w.words, w.starts.tolist(), w.ends.tolist(), strict=True):
-            drop = covered[a:b]
+        for text, a, b in zip(w.texts, w.starts.tolist(), w.ends.tolist(), strict=True):
+            words, drop = text.split(), covered[a:b]
             kept = b" ".join([x for x, out in zip(words, drop.tolist(), strict=True) if not out] if drop.any() else words)
             ends = np.flatnonzero(np.diff(drop, prepend=False, append=False)).tolist() if drop.any() else []
             rows.append((b - a, int(drop.sum()), kept.decode("utf-8", "surrogatepass") if texts else None, hashlib.sha256(kept).hexdigest(), ends))

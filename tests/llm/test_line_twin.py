@@ -6,7 +6,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
-from graphloom.llm.line_dedup import LEAD, Lines, Tokens, dedup_lines
+from graphloom.llm.line_dedup import LEAD, Lines, dedup_lines
 
 ANY = None
 
@@ -14,7 +14,7 @@ ANY = None
 def order_of(lines):
     """The hashes that lines meet their leaf by."""
     table = pa.table({"doc_id": [0], "text": ["\n".join(lines)]})
-    found = Lines(table, Tokens(), 1)
+    found = Lines(table, 1)
     return dict(zip(lines, found.key.tolist(), strict=True))
 
 

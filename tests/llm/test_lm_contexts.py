@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import zstandard
 
-from graphloom.llm.lm_score import ORDERS, Code, _tokens, by_bucket, byte_pairs, counted_keys, predict, ragged, send_runs, stretched
+from graphloom.llm.lm_score import ORDERS, _tokens, by_bucket, byte_triples, code_of, corpus_code, counted_keys, predict, ragged, send_runs, stretched
 
 
 def test_no_two_contexts_share_counts():
@@ -13,12 +13,12 @@ def test_no_two_contexts_share_counts():
     rng = np.random.default_rng(1)
     texts = [rng.integers(1, 40, 3_000).astype(np.uint8).tobytes() for _ in range(8)]
     trains = [True] * 6 + [False] * 2
-    code = Code(byte_pairs(texts[:6]).reshape(256, 256).astype(float))
+    code = code_of(texts[:6])
     chunks = [counted_keys(texts[:4], trains[:4]), counted_keys(texts[4:], trains[4:])]
     buckets = 4
     asked = [dict(send_runs(*c, buckets)) for c in chunks]
     keys = chunks[1][0]
-    length = code.length[(keys & np.uint64(0xFFFF)).astype(int)]
+    length = code.length[code.at(keys)]
     begin = np.cumsum(length) - length
     value = np.empty(int(length.sum()), np.int8)
     for b, at in by_bucket(keys, buckets):
@@ -30,7 +30,7 @@ def test_no_two_contexts_share_counts():
     def paths(text):
         x = bytes(6) + text + b"\0"
         for i in range(6, len(x)):
-            pair = x[i - 1] * 256 + x[i]
+            pair = int(code.at(np.array([x[i - 2] << 16 | x[i - 1] << 8 | x[i]], np.uint64))[0])
             a = code.begin[pair]
             yield x, i, [(int(code.node[a + j]), bool(code.outcome[a + j])) for j in range(code.length[pair])]
 
@@ -57,3 +57,24 @@ def test_tokens_are_told_apart():
     number = {}
     assert all(number.setdefault(w, n) == n for w, n in zip((w for own in want for w in own), back.tolist(), strict=True))
     assert len(set(number.values())) == len(number) == len(keys)
+
+
+def test_code_of_chunks_is_that_of_all_texts(spark):
+    """Summed over notes of chunks the code is that of the training texts together."""
+    from collections import Counter as Count
+
+    from graphloom.llm import lm_score
+    from graphloom.llm.common import write_chunks
+
+    texts = [b"", b"a", b"ab ab", "é x".encode(), b"the cat and the hat " * 9]
+    triples, n = byte_triples(texts)
+    want = Count(bytes(t[i : i + 3]) for t in (b"\0\0" + t + b"\0" for t in texts) for i in range(len(t) - 2))
+    assert {int(k).to_bytes(3, "big"): int(c) for k, c in zip(triples, n, strict=True)} == want
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts * 5)], "doc_id long, text string").repartition(4)
+
+    def note(table):
+        found, m = byte_triples([t.encode() for t in table["text"].to_pylist()])
+        return lm_score._note(m, found)
+
+    code, own = corpus_code(write_chunks(df, ["doc_id", "text"], 50, note)), code_of(texts * 5)
+    assert (code.length == own.length).all() and (code.node == own.node).all() and (code.state == own.state).all()

@@ -17,7 +17,7 @@ from graphloom.llm import queries
 from graphloom.llm.decontaminate import drop_contaminated, find_contamination, myers, normalize, pattern_bits
 from graphloom.llm.html_extract import extract_html, main_text
 from graphloom.llm.line_dedup import dedup_lines
-from graphloom.llm.lm_score import Code, all_runs, byte_pairs, counted_keys, keys_of, log10_probabilities, packed, predict, score_documents, send_runs
+from graphloom.llm.lm_score import all_runs, code_of, counted_keys, keys_of, log10_probabilities, packed, predict, score_documents, send_runs
 from graphloom.llm.near_dedup import dart_minhash, drop_near_duplicates, near_duplicates
 from graphloom.llm.quality_rules import quality_rules
 from graphloom.llm.substring_dedup import dedup_substrings
@@ -137,11 +137,11 @@ def test_contamination_of_odd_rows(spark, odd_docs, odd_rows):
 # ---------------------------------------------------------------- language model
 def log10_of(train: list[bytes], texts: list[bytes]) -> np.ndarray:
     """The model's scores of ``texts``, from one chunk that holds them and the training texts."""
-    code = Code(byte_pairs(train).reshape(256, 256).astype(float))
+    code = code_of(train)
     keys, n = counted_keys(train + texts, [True] * len(train) + [False] * len(texts))
     runs, _ = all_runs(texts)
     own, at = keys_of(runs)
-    length = code.length[(keys & np.uint64(0xFFFF)).astype(int)]
+    length = code.length[code.at(keys)]
     [(_, payload)] = send_runs(keys, n, 1)
     [(_, answers)] = predict(code, [0], [payload])
     value = np.frombuffer(zstandard.decompress(answers), np.int8)
@@ -152,8 +152,8 @@ def log10_of(train: list[bytes], texts: list[bytes]) -> np.ndarray:
 
 def test_code_is_complete_and_probabilities_sum_to_one():
     train = [prose(i, 40).encode() for i in range(5)]
-    code = Code(byte_pairs(train).reshape(256, 256).astype(float))
-    assert np.allclose((0.5 ** code.length.reshape(256, 256)).sum(1), 1)
+    code = code_of(train)
+    assert np.allclose((0.5 ** code.length.reshape(-1, 256)).sum(1), 1) and len(code.length) > 256 * 256
     every = log10_of(train, [b""] + [bytes([b]) for b in range(1, 256)])
     none, one = 10 ** every[0], 10 ** every[1:]
     # every text of one byte other than 0 ends in 0, and 0 in first place is the end
