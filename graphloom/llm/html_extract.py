@@ -10,10 +10,11 @@ theirs is). For every remaining node the composite density is
     CTD = C / T * log((C / LC) * (T / LT)) / log(log(C / (C - LC) * LC + LCb / Cb * C + e))
 
 with C characters, T tags, LC characters and LT tags of links (0 counts as 1 in a
-denominator) and b the body. A node's density sum adds its children's CTD. From the node
+denominator) and b the body. A node's density sum adds its children's CTD, and that of its own text where it
+stands loose among block elements. From the node
 with the largest sum the path to the body gives the threshold, its least CTD. If an
 <article> or <main> is on that path, the outermost <article> (else <main>) is the text;
-otherwise that node is, with the subtrees beside the path whose CTD reaches the threshold.
+otherwise that node is, with the subtrees and loose texts beside the path whose CTD reaches the threshold.
 Within the text only link lists under the threshold are cut; nothing else is.
 
 Text: character references decoded, white space collapsed, block elements and <br> separate
@@ -63,13 +64,13 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "always", "chars", "tags", "link_chars", "link_tags", "ctd", "sum")
+    __slots__ = ("tag", "parent", "children", "cut", "always", "chars", "tags", "link_chars", "link_tags", "ctd", "own", "sum")
 
     def __init__(self, tag: str, parent: Node | None, cut: int):
         self.tag, self.parent, self.cut, self.always = tag, parent, min(cut, NAMED), cut == NAMED_ALWAYS
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.ctd = self.sum = 0.0
+        self.ctd = self.own = self.sum = 0.0
 
 
 #: An element that its class or id would cut: ``_judge`` looks at its density. Adverts and comments are no part of the text even if dense.
@@ -220,14 +221,19 @@ def _measure(nodes: list[Node], upto: int = 0) -> None:
             node.link_chars = node.chars
     body = nodes[0]
     shared = body.link_chars / max(1, body.chars)
+    # without links anywhere the base would be 1; it is held at 1.5 at least
+    base = lambda c, lc: max(1.5, math.log(c / max(1, c - lc) * lc + shared * c + math.e))
     for node in nodes:
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
         if c:
-            # without links anywhere the base would be 1; it is held at 1.5 at least
-            base = max(1.5, math.log(c / max(1, c - node.link_chars) * node.link_chars + shared * c + math.e))
-            node.ctd = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
+            node.ctd = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base(c, node.link_chars))
     for node in nodes:
-        node.sum = sum(x.ctd for x in node.children if isinstance(x, Node) and x.cut in (0, upto))
+        kids = [x for x in node.children if isinstance(x, Node) and x.cut in (0, upto)]
+        node.own = 0.0
+        if any(x.tag not in INLINE for x in kids):
+            c = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+            node.own = c * math.log(max(1, c)) / math.log(base(c, 0))
+        node.sum = sum(x.ctd for x in kids) + node.own
 
 
 def _collect(node: Node, threshold: float, out: list[str]) -> None:
@@ -258,22 +264,26 @@ def main_text(page: str | None) -> str:
     chosen = [x for x in path if x.tag == "article"][-1:] or [x for x in path if x.tag == "main"][-1:]
     out: list[str] = []
     for x in chosen or _dense(path, threshold):
-        _collect(x, threshold, out)
-        out.append(" ")
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            _collect(x, threshold, out)
+            out.append(" " * (x.tag not in INLINE))
     return " ".join(entities.unescape("".join(out)).split())
 
 
-def _dense(path: list[Node], threshold: float) -> list[Node]:
-    """In page order the path's first node, and the subtrees beside the path that reach the threshold."""
+def _dense(path: list[Node], threshold: float) -> list[Node | str]:
+    """In page order the path's first node, and the subtrees and loose texts beside the path that reach the threshold."""
     inside = {id(x) for x in path}
-    out: list[Node] = []
-    todo: list[Node] = [path[-1]]
+    out: list[Node | str] = []
+    todo: list[Node | str] = [path[-1]]
     while todo:
         node = todo.pop()
-        if node is path[0] or id(node) not in inside:
+        if isinstance(node, str) or node is path[0] or id(node) not in inside:
             out.append(node)
         else:
-            todo += [x for x in reversed(node.children) if isinstance(x, Node) and not x.cut and (id(x) in inside or x.chars and x.ctd >= threshold)]
+            loose = node.own >= threshold
+            todo += [x for x in reversed(node.children) if (loose if isinstance(x, str) else not x.cut and (id(x) in inside or x.chars and x.ctd >= threshold))]
     return out
 
 

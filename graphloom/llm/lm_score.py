@@ -42,7 +42,7 @@ from .common import FAN_IN, answer, ask, bucket_of, chunk_groups, encode, materi
 
 ORDERS = (2, 4, 6)
 LAST = max(ORDERS)
-CHUNK, PIECE = 12 << 20, 1 << 19
+CHUNK, PIECE = 10 << 20, 1 << 19
 BLOCK, SHARE = 32, 16
 #: Gates: highest order seen (0: none), three ranges of how sure it is.
 GATES = 3 * (len(ORDERS) + 1)
@@ -413,14 +413,15 @@ def corpus_code(chunks: DataFrame) -> Code:
     """
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << 24, np.int64)
+        found, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             for note in batch["note"]:
                 raw = zstandard.decompress(note.as_py())
                 m = int(np.frombuffer(raw, np.uint32, 1)[0])
-                sums[np.frombuffer(raw, np.uint32, m, 4)] += np.frombuffer(raw, np.int64, m, 4 + 4 * m)
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found])], ["triple", "n"])
+                both = np.concatenate([sums, np.frombuffer(raw, np.int64, m, 4 + 4 * m)])
+                found, back = np.unique(np.concatenate([found, np.frombuffer(raw, np.uint32, m, 4)]), return_inverse=True)
+                sums = np.bincount(back, both, len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(sums)], ["triple", "n"])
 
     triples = chunks.select("note").mapInArrow(total, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
     triples = materialize(triples, "triples")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from graphloom.llm.html_extract import NAMED, Node, _measure, _order, main_text, parse
+from graphloom.llm.html_extract import INLINE, NAMED, Node, _measure, _order, main_text, parse
 
 TEXT = "Words of the story that the page is about and no other. "
 LINKS = "<ul>" + "".join(f"<li><a href=/{i}>another story {i}</a></li>" for i in range(9)) + "</ul>"
@@ -31,6 +31,13 @@ def test_without_an_article():
     assert main_text(page) == "Title of it " + PLAIN
 
 
+def test_loose_text_among_blocks():
+    """Text outside any element of its own, as old pages have it, is text too."""
+    loose = (TEXT * 4).strip()
+    assert main_text(f"<body>{loose}<br><br>{loose}<div><p>first note</p><p>second note</p></div></body>") == f"{loose} {loose} first note second note"
+    assert main_text(f"<body>{loose}<div>{STORY}</div>{loose}</body>") == f"{loose} {PLAIN} {loose}"
+
+
 def test_comments_go_even_if_dense():
     many = "".join(f"<div class=reply><p>{TEXT * 4}</p></div>" for _ in range(4))
     assert main_text(f"<body><div><div>{STORY}</div></div><div id=comments>{many}</div></body>") == PLAIN
@@ -61,7 +68,9 @@ def slow(node: Node, body: Node, upto: int) -> dict:
         return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base)
 
     kids = [y for y in node.children if isinstance(y, Node) and y.cut in (0, upto)]
-    return {"chars": chars(node), "link_chars": linked(node), "tags": len(list(under(node))), "ctd": ctd(node), "sum": sum(ctd(y) for y in kids)}
+    loose = sum(len("".join(y.split())) for y in node.children if isinstance(y, str))
+    own = loose * math.log(max(1, loose)) / math.log(max(1.5, math.log(linked(body) / max(1, chars(body)) * loose + math.e))) if any(y.tag not in INLINE for y in kids) else 0.0
+    return {"chars": chars(node), "link_chars": linked(node), "tags": len(list(under(node))), "ctd": ctd(node), "sum": sum(ctd(y) for y in kids) + own}
 
 
 def test_measure_equals_its_slow_twin():
