@@ -143,5 +143,30 @@ FROM t LEFT JOIN kept USING (r)
 """
 
 
+#: All pairs that share a shingle, and the classes that their links join.
+OP2 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), cut AS (
+  SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM t WHERE len(w) > 0
+), bag AS (
+  SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS k FROM cut GROUP BY ALL
+), weight AS (
+  SELECT doc_id, sum(k) AS n FROM bag GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.k, b.k)) AS shared FROM bag a JOIN bag b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN weight x ON x.doc_id = a JOIN weight y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared)
+), ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(id, other) AS (
+  SELECT a, b FROM ways UNION SELECT r.id, w.b FROM reach r JOIN ways w ON r.other = w.a
+), least_other AS (
+  SELECT id, min(other) AS other FROM reach GROUP BY id
+)
+SELECT doc_id, least(doc_id, other) AS class_id FROM documents LEFT JOIN least_other ON id = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op5_license_scan": op5()}
+    return {"op1_url_filter": OP1, "op2_near_dedup": OP2, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op5_license_scan": op5()}

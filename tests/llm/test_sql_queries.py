@@ -8,6 +8,7 @@ import pytest
 from graphloom.llm import queries, sql
 from graphloom.llm.license_scan import scan_licenses
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.url_filter import Rule, host_rule, url_filter
 
@@ -35,6 +36,7 @@ def test_small_tables(spark, small_dir, name):
 
 
 OPERATORS = {
+    "op2_near_dedup": near_duplicates,
     "op3_mix_sources": lambda d: mix_sources(d).select("doc_id", "size", "source_size", "target", "taken"),
     "op4_substring_dedup": lambda d: dedup_substrings(d, texts=False).drop("kept_text", "repeats"),
     "op5_license_scan": scan_licenses,
