@@ -205,15 +205,16 @@ def ask(chunks: DataFrame, emit: Callable[[pa.Table], Iterable[tuple[int, bytes]
     return chunks.mapInArrow(run, REQUEST)
 
 
-#: Payloads that a bucket takes at once; where there are more chunks, groups of chunks come between them and the bucket.
-FAN_IN = 4096
+#: Bytes of written chunks, a few thousand chunks, whose payloads a bucket takes at once; where there are more, groups of
+#: chunks come between them and the bucket.
+FAN_IN = 2 << 30
 
 Reduce = Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]]
 
 
 def chunk_groups(chunks: DataFrame, fan_in: int) -> int:
-    """How many groups of chunks hold ``fan_in`` chunks each."""
-    return -(-chunks.count() // fan_in)
+    """How many groups of ``fan_in`` bytes the written chunks make."""
+    return max(1, -(-plan_bytes(chunks) // fan_in))
 
 
 def answer(requests: DataFrame, reduce: Reduce, groups: int = 1, merge: Callable[[list[bytes]], bytes] | None = None, share: Callable[[list[bytes], bytes | None], Iterable[bytes | None]] | None = None) -> DataFrame:

@@ -26,6 +26,6 @@ def test_same_rows(spark, small_dir, many_chunks, odd_docs, name):
     }[name]
     for docs in (spark.read.parquet(f"{small_dir}/documents.parquet").limit(120), odd_docs):
         docs = common.materialize(docs, "docs")
-        one, several = (sorted(map(repr, run(docs, n).collect())) for n in (4096, 3))
+        one, several = (sorted(map(repr, run(docs, n).collect())) for n in (common.FAN_IN, 5_000))
         assert one == several
-    assert common.chunk_groups(common.materialize(docs, "d"), 3) > 1
+    assert common.chunk_groups(common.write_chunks(docs, ["doc_id", "text"], 20_000), 5_000) > 1
