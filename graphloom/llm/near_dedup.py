@@ -14,13 +14,12 @@ band's bucket the most central member, the one with most bucket mates over all b
 other member. A document's pairs with its leaders are verified exactly on the whole texts, the
 best first; pairs whose ends are already in one class need no verification.
 
-Buckets that then still hold several classes are split into parts by further coordinates. In rounds,
-each class of a part names a leader, by a hash that changes with the round; those outside a
-part's largest class meet that class's leader and the one of another class. Rounds end when one
-links nothing. So rows grow with the members of buckets: no bucket is collected or joined with itself. Links
-to a member that no round made a leader of a shared part can be missed; most of these join
-documents that other links have put in one class. README has the measured recall. Texts
-travel compressed, and only those in some bucket.
+Buckets that then still hold several classes are gone through whole: every pair of a bucket whose ends are in different
+classes is compared exactly, so no two documents that share a bucket lack their link. The documents outside a bucket's largest class meet all
+of its members, block by block, in tasks of two blocks each; a task counts what two texts share by
+an index of its block's shingles, so no row stands for a pair and no bucket is collected or joined with itself. Buckets of the same
+documents are gone through once. What is left to chance is only whether a link's ends share one of the buckets at all (at 0.8
+with 24 bands of 5: all but 7 in 100,000). Texts travel compressed, and only those in some bucket.
 
 Defined results: a text without words (null, empty, blank) has no shingles and is a class of
 its own. A null doc_id has the class null and is never a duplicate. Rows with one doc_id
@@ -36,15 +35,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import Hashes, encode, materialize, mix, pieces, windows
 
 SHINGLE = 5
-#: Parts of a bucket: its members that also agree in so many further coordinates. Leaders of a class in a part, taken in turn.
-DEPTHS, LEADS = (0, 4), 4
+#: Documents and bytes of text of a block, about; a bucket of more is several blocks.
+BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -105,11 +104,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
 
 
-SIGNED = "doc_id long, print binary, bands array<long>, coords binary, blob binary"
+SIGNED = "doc_id long, print binary, bands array<long>, size long, blob binary"
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """SIGNED: of each document with words a print of them, its band keys, a byte of each coordinate, its text compressed."""
+    """SIGNED: of each document with words a print of them, its band keys, the bytes of its words, these compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pack = Hashes(), zstandard.ZstdCompressor(level=3)
@@ -122,12 +121,11 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     raw = b" ".join(words)
                     found, count = shingles(hashes.of(words))
                     signature = dart_minhash(found, count.astype(np.float64), bands * rows)
-                    coords = (signature >> np.uint64(20)).astype(np.uint8).tobytes()
-                    out.append((doc_id, xxhash.xxh3_128_digest(raw), band_keys(signature, bands), coords, pack.compress(raw)))
+                    out.append((doc_id, xxhash.xxh3_128_digest(raw), band_keys(signature, bands), len(raw), pack.compress(raw)))
             if out:
-                ids, prints, keys, coords, blobs = zip(*out, strict=True)
+                ids, prints, keys, sizes, blobs = zip(*out, strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(coords, pa.binary()), pa.array(blobs, pa.binary())], ["doc_id", "print", "bands", "coords", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "print", "bands", "size", "blob"])
 
     return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).mapInArrow(run, SIGNED)
 
@@ -152,6 +150,94 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def cross_links(ids: list[int], classes: list[int], bags: list[Bag], members: list[int], outer: list[int], main: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links of ``outer`` to ``members`` (places in the lists) of other classes, but those that others already imply.
+
+    All such pairs are compared; two documents outside the class ``main`` only if the member's id is the greater.
+    """
+    of = np.repeat(np.arange(len(members)), [len(bags[m][0]) for m in members])
+    shingle, count = np.concatenate([bags[m][0] for m in members]), np.concatenate([bags[m][1] for m in members])
+    order = np.argsort(shingle, kind="stable")
+    of, shingle, count = of[order], shingle[order], count[order]
+    total = np.array([bags[m][1].sum() for m in members])
+    id_, class_ = np.array([ids[m] for m in members]), np.array([classes[m] for m in members])
+    joined: dict[int, int] = {}
+
+    def now(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for x in outer:
+        own, n = bags[x]
+        low = np.searchsorted(shingle, own)
+        found = np.searchsorted(shingle, own, "right") - low
+        at = np.arange(int(found.sum())) + np.repeat(low - (np.cumsum(found) - found), found)
+        shared = np.bincount(of[at], np.minimum(count[at], np.repeat(n, found)), len(members))
+        alike = (shared / (total + n.sum() - shared) >= least) & (class_ != classes[x]) & ((class_ == main) | (id_ > ids[x]))
+        for y in np.flatnonzero(alike).tolist():
+            a, b = now(classes[x]), now(int(class_[y]))
+            if a != b:
+                joined[a] = b
+                yield ids[x], int(id_[y])
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK_DOCS, F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def cross_classes(buckets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between documents of one bucket and of different classes. buckets: band, doc_id, class, distinct.
+
+    All pairs of a bucket that holds several classes are compared, except those within its largest class.
+    Buckets of two documents are left out: these have met.
+    """
+    sized = buckets.join(texts.groupBy("doc_id").agg(F.sum("size").alias("size")), "doc_id")
+    prints = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"print_{i}") for i in range(2)]
+    by_class = sized.groupBy("band", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *prints)
+    every = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("classes"), F.max(F.struct("n", "class", "size")).alias("main")]
+    several = by_class.groupBy("band").agg(*every, *[F.bit_xor(f"print_{i}").alias(f"print_{i}") for i in range(2)]).where("classes > 1 and n > 2")
+    outside = several.withColumn("n_out", F.col("n") - F.col("main.n")).withColumn("size_out", F.col("size") - F.col("main.size"))
+    plan = F.struct("band", F.col("main.class").alias("main"), _blocks("n", "size").alias("blocks"), _blocks("n_out", "size_out").alias("outer_blocks"))
+    once = outside.groupBy("print_0", "print_1", "n").agg(F.min(plan).alias("plan")).select("plan.*")
+
+    placed = buckets.join(once, "band").withColumn("out", F.col("class") != F.col("main"))
+    placed = placed.withColumn("i", F.expr("int(pmod(xxhash64(doc_id), outer_blocks))")).withColumn("j", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
+    # as a member to its block's meeting with each outer block; one outside the largest class as such to all other meetings of its outer block
+    meets = """transform(sequence(0, outer_blocks - 1), k -> struct(k as i, j as j, true as member, out and k = i as outer))"""
+    as_outer = """transform(filter(sequence(0, blocks - 1), k -> out and k <> j), k -> struct(i as i, k as j, false as member, true as outer))"""
+    rows = placed.select("band", "doc_id", "class", "main", F.explode(F.concat(F.expr(meets), F.expr(as_outer))).alias("at"))
+    rows = rows.select("band", "doc_id", "class", "main", "at.*").join(texts.select("doc_id", "blob"), "doc_id")
+    task = ["band", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack = Hashes(), zstandard.ZstdDecompressor()
+        key, held = None, []
+
+        def links() -> pa.RecordBatch:
+            ids, classes, mains, member, outer, blobs = zip(*held, strict=True)
+            found: list[tuple[int, int]] = []
+            if any(member) and any(outer):
+                bags = [shingles(hashes.of(unpack.decompress(b).split())) for b in blobs]
+                found += cross_links(ids, classes, bags, [k for k, m in enumerate(member) if m], [k for k, o in enumerate(outer) if o], mains[0], least)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+        for batch in batches:  # rows come task by task
+            for *now, doc_id, class_, main, member, outer, blob in zip(*[batch[c].to_pylist() for c in [*task, "doc_id", "class", "main", "member", "outer", "blob"]], strict=True):
+                if now != key and held:
+                    yield links()
+                    held.clear()
+                key = now
+                held.append((doc_id, class_, main, member, outer, blob))
+        if held:
+            yield links()
+
+    return rows.repartition(*task).sortWithinPartitions(*task, "doc_id").mapInArrow(run, "a long, b long")
+
+
 def _merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Labels after some more edges. Only classes that an edge joins are gone through."""
     if labels is None:
@@ -185,20 +271,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     members = materialize(_with_rep(signed).distinct(), "members")
     leads = members.where("doc_id = rep").select("doc_id", "print").distinct()
 
-    keys = signed.join(leads, ["doc_id", "print"], "left_semi").select("doc_id", F.posexplode("bands").alias("at", "band"))
+    keys = signed.join(leads, ["doc_id", "print"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
     keys = materialize(keys, "keys")
     crowds = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     held = keys.join(crowds, "band")
     central = held.groupBy("doc_id").agg(F.sum("n").alias("mates"))
-    held = materialize(held.select("band", "at", "doc_id").join(central, "doc_id"), "held")
+    held = materialize(held.select("band", "doc_id").join(central, "doc_id"), "held")
     # the most mates, then the least hash: both in one number
     rank = F.col("mates").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     leaders = held.groupBy("band").agg(F.max_by("doc_id", rank).alias("leader"))
-    buckets = materialize(held.select("band", "at", "doc_id").join(leaders, "band"), "buckets")
+    buckets = materialize(held.select("band", "doc_id").join(leaders, "band"), "buckets")
     pairs = materialize(buckets.where("doc_id <> leader").groupBy(F.col("doc_id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("bands")), "pairs")
     needed = buckets.select("doc_id").distinct()
     # merged at every size, so that small inputs show the cost of large ones
-    texts = materialize(signed.hint("merge").join(leads, ["doc_id", "print"]).select("doc_id", "coords", "blob").join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = materialize(signed.hint("merge").join(leads, ["doc_id", "print"]).select("doc_id", "size", "blob").join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
 
     best = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("bands"), "b"))).where("turn = 1")
     mixed = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
@@ -214,37 +300,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     if not links.isEmpty():
         labels = _merge(labels, links)
 
-    # parts of the buckets of three documents and more that hold several classes
-    classed = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "at", "doc_id", F.coalesce("label", "doc_id").alias("class"))
-    classed = materialize(classed, "classed")
-    several = classed.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2")
-    open_ = classed.join(several.select("band"), "band", "left_semi").join(texts.select("doc_id", "coords"), "doc_id")
-    turned = F.expr(f"substring(concat(coords, coords), int((at + 1) % {bands} * {rows} + 1), {max(DEPTHS)})")
-    part = F.explode(F.array(*[F.xxhash64("band", F.lit(d), F.expr(f"substring(turned, 1, {d})")) for d in DEPTHS]))
-    parts = materialize(open_.withColumn("turned", turned).select("doc_id", "class", part.alias("part")), "parts")
-    leads = F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("by"), "doc_id"))["doc_id"] for i in range(LEADS)])
-    by_class = parts.groupBy("part", "class").agg(F.count("*").alias("n"), leads.alias("leads"))
-    main = by_class.groupBy("part").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("main")).where("classes > 1").select("part", F.col("main.class").alias("main"))
-    by_class = materialize(by_class.join(main.select("part"), "part", "left_semi"), "part-classes")
-    outer = materialize(parts.join(main, "part").where("class <> main").select("part", "doc_id", "class"), "outer")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    turn = 0
-    while True:
-        now = labels.select(F.col("id").alias("class"), "label")
-        of_class = lambda df: df.join(now, "class", "left").withColumn("class", F.coalesce("label", "class")).drop("label")
-        lead = F.col("leads")[turn % LEADS].alias("lead")
-        found = of_class(by_class).select("part", "class", "n", lead)
-        who = F.struct(F.xxhash64("class", F.lit(turn)).alias("by"), "class", "lead")
-        ends = found.groupBy("part").agg(F.max(F.struct("n", "class", "lead")).alias("main"), F.min(who).alias("low"), F.max(who).alias("high")).where("low.class <> high.class")
-        other = F.when(F.col("low.class") != F.col("class"), F.col("low.lead")).otherwise(F.col("high.lead"))
-        meets = of_class(outer).join(ends, "part").where(F.col("class") != F.col("main.class")).select("doc_id", F.explode(F.array("main.lead", other)).alias("leader"))
-        met = meets.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).where("a <> b").distinct()
-        met = materialize(met.join(tried, ["a", "b"], "left_anti"), "met")
-        links = materialize(verify(met, texts, least), "links")
-        if links.isEmpty():
-            break
+    classed = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("class")).distinct()
+    links = materialize(cross_classes(materialize(classed, "classed"), texts, least), "links")
+    if not links.isEmpty():
         labels = _merge(labels, links)
-        tried, turn = tried.unionByName(met), turn + 1
 
     classes = members.join(labels, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     ids = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"))
