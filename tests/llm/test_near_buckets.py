@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import corpus_pipeline
+
 from tests.llm.test_python_operators import brute_classes
 
 from graphloom.llm import near_dedup
@@ -30,3 +32,11 @@ def test_every_pair_of_a_bucket_is_compared(spark, near_copies, monkeypatch, blo
     rows, want = near_copies
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == want
+
+
+def test_the_pipeline_keeps_one_document_of_each_class(spark, near_copies):
+    """Its stage drops every text that a chain of links joins to one of lesser id."""
+    rows, want = near_copies
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_copies(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want if i == c)
