@@ -301,23 +301,31 @@ class Mixer:
         bounds = [0]
         while bounds[-1] < self.done + int(size.max()):
             bounds.append(bounds[-1] + max(BLOCK, bounds[-1] // SHARE))
-        byte = ragged(np.zeros(n, np.int64), size) + self.done
-        block = np.searchsorted(np.array(bounds), byte, "right").astype(np.int16)
-        order = np.argsort(block, kind="stable")
+        # all texts' first bytes, then their second ones, and so on: neighbours then count in different cells, which is faster
+        most = int(size.max())
+        alive = n - np.cumsum(np.bincount(size, minlength=most + 1))[:most]  # texts that are longer
+        doc = np.argsort(-size, kind="stable").take(ragged(np.zeros(most, np.int64), alive))
+        order = (np.cumsum(size) - size).take(doc) + np.repeat(np.arange(most), alive)
         length = length.take(order)
         ends = np.cumsum(length)
-        cuts = np.append(np.flatnonzero(np.diff(block.take(order), prepend=0)), len(order))
-        blocks = np.diff(np.array(bounds))[block.take(order)[cuts[:-1]] - 1]
-        cuts = np.append(0, ends)[cuts]
-        which = np.repeat(np.arange(len(order)), length)
-        all_ = words.take((first.take(order) - (ends - length)).take(which) + np.arange(len(which)))
-        doc = np.repeat(np.arange(n), size).take(order).take(which)
-        cell = (all_.view(np.int8)[3::4] >> 1) + doc * GATES
-        loss = np.empty(len(which), np.float32)
-        for a, b, bytes_ in zip(cuts[:-1].tolist(), cuts[1:].tolist(), blocks.tolist(), strict=True):
-            four, g = all_[a:b].view(np.int8).reshape(-1, 4), cell[a:b]
-            t = [four[:, o].astype(np.float32) for o in range(len(ORDERS))]
+        bounds_ = np.array(bounds)
+        mine = bounds_[1:] > self.done
+        blocks = np.diff(bounds_)[mine]
+        cuts = np.append(0, np.cumsum(alive))[np.append(0, np.minimum(bounds_[1:][mine] - self.done, most))]
+        base = first.take(order) - (ends - length)  # from a decision's place in the order of blocks to that in ``words``
+        own = doc * GATES
+        starts = np.append(0, ends)[cuts]
+        steps = np.arange(int(np.diff(starts).max()))
+        loss = np.zeros(n * GATES)
+        for a, b, start, stop, bytes_ in zip(cuts[:-1].tolist(), cuts[1:].tolist(), starts[:-1].tolist(), starts[1:].tolist(), blocks.tolist(), strict=True):
+            # a block's numbers are made when its turn comes, so that they are still in the cache when they are used
+            at = np.repeat(base[a:b] + start, length[a:b])
+            at += steps[: stop - start]
+            four = words.take(at).view(np.int8).reshape(-1, 4)
+            g = np.repeat(own[a:b], length[a:b])
+            g += four[:, 3] >> 1
             y = ((four[:, 3] & 1) * np.int8(2) - np.int8(1)).astype(np.float32)
+            t = [four[:, o].astype(np.float32) for o in range(len(ORDERS))]
             z = t[0] * self.weights[0].take(g)
             for x, w in zip(t[1:], self.weights[1:], strict=True):
                 z += x * w.take(g)
@@ -326,8 +334,8 @@ class Mixer:
             z *= y
             e = np.exp(np.negative(z, out=z), out=z)
             one = 1 + e  # e is e**-8 at least, so nothing is lost
-            np.log(one, out=loss[a:b])
             e /= one
+            loss += np.bincount(g, np.log(one, out=one), n * GATES)
             e *= y  # the error: outcome minus probability
             # learn from the block, after it is scored; the more decisions a step sums, the smaller it is
             rate = RATE / (1 + STEADY * bytes_)
@@ -335,7 +343,17 @@ class Mixer:
                 w += (rate / 256 * np.bincount(g, e * x, n * GATES)).astype(np.float32)
             self.map += (rate * np.bincount(g, e, n * GATES)).astype(np.float32)
         self.done += int(size.max())
-        return np.bincount(doc, loss, n)
+        return loss.reshape(n, GATES).sum(1)
+
+
+def places(wide: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The place of each number among ``runs``, which are ascending and hold them all."""
+    order = np.argsort(wide)
+    ordered = wide.take(order)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(wide) else np.zeros(0, np.int64)
+    out = np.empty(len(wide), np.int64)
+    out[order] = np.repeat(np.searchsorted(runs, ordered.take(first)), np.diff(np.append(first, len(wide))))
+    return out
 
 
 def log10_probabilities(code: Code, texts: list[bytes], runs: np.ndarray, decisions: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -347,11 +365,7 @@ def log10_probabilities(code: Code, texts: list[bytes], runs: np.ndarray, decisi
         if not a:
             mixer = Mixer(len(part))
         size, wide = run_numbers(part, before, closed)
-        back, found = pd.factorize(wide)
-        order = np.argsort(found)
-        at = np.empty(len(order), np.int64)
-        at[order] = np.searchsorted(runs, found[order])
-        at = at.take(back)
+        at = places(wide, runs)
         out[i : i + len(part)] -= mixer.nats(size, length.take(at), first.take(at), words)
     return out / float(np.log(10))
 

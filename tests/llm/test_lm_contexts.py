@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import zstandard
 
-from graphloom.llm.lm_score import ORDERS, _tokens, by_bucket, byte_triples, code_of, corpus_code, counted_keys, predict, ragged, send_runs, stretched
+from graphloom.llm.lm_score import ORDERS, PIECE, _tokens, all_runs, by_bucket, byte_triples, code_of, corpus_code, counted_keys, keys_of, log10_probabilities, packed, places, predict, ragged, send_runs, stretched
 
 
 def test_no_two_contexts_share_counts():
@@ -78,3 +78,32 @@ def test_code_of_chunks_is_that_of_all_texts(spark):
 
     code, own = corpus_code(write_chunks(df, ["doc_id", "text"], 50, note)), code_of(texts * 5)
     assert (code.length == own.length).all() and (code.node == own.node).all() and (code.state == own.state).all()
+
+
+def test_texts_score_among_others_as_alone():
+    """Texts of one piece are gone through byte by byte of all, a long one in several pieces; each is scored as if by itself."""
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 31, 32, 33, 700, 700, 5_000, 0, PIECE + 40_000, 64]
+    texts = [rng.choice(np.frombuffer(b"abcde  \n", np.uint8), n).tobytes() for n in sizes]
+    code = code_of(texts)
+
+    def scored(own):
+        runs, _ = all_runs(own)
+        keys, at = keys_of(runs)
+        length = code.length[code.at(keys)]
+        value = keys_hash(keys).repeat(length).astype(np.int8)
+        return log10_probabilities(code, own, runs, packed(code, runs, at, np.cumsum(length) - length, value))
+
+    def keys_hash(keys):  # any prediction will do, if it is the key's
+        return (keys % np.uint64(251)).astype(np.int64) - 125
+
+    among = scored(texts)
+    assert np.allclose(among, [scored([t])[0] for t in texts], rtol=1e-9, atol=0)
+
+
+def test_places():
+    rng = np.random.default_rng(4)
+    runs = np.unique(rng.integers(0, 2**56, 500).astype(np.uint64))
+    for n in (0, 1, 2_000):
+        at = rng.integers(0, len(runs), n)
+        assert places(runs[at], runs).tolist() == at.tolist()
