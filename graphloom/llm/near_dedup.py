@@ -23,7 +23,7 @@ with 24 bands of 5: all but 7 in 100,000). Texts travel compressed, and only tho
 
 Defined results: a text without words (null, empty, blank) has no shingles and is a class of
 its own. A null doc_id has the class null and is never a duplicate. Rows with one doc_id
-are one document, linked wherever one of their texts is. Empty tables give empty
+are one document, linked wherever one of their texts, however many, is. Empty tables give empty
 tables; other columns are ignored.
 """
 
@@ -287,7 +287,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     texts = materialize(signed.hint("merge").join(leads, ["doc_id", "print"]).select("doc_id", "size", "blob").join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
 
     best = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("bands"), "b"))).where("turn = 1")
-    mixed = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
+    mixed = members.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
     labels = connected_components(materialize(verify(best, texts, least).unionByName(mixed), "links"))
 
     def outside(found: DataFrame) -> DataFrame:
