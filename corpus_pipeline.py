@@ -5,6 +5,7 @@ and reads again for the next one. All but the last return the columns of ``docum
 
 Every stage gives an empty table for an empty one, and judges repeated rows alike, each on its own but
 for near dedup, which keeps one row of an id. What becomes of nulls is said at each stage.
+The stages that hand texts to Python set the session's bound on batches for it, unless it has one; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, small_batches
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.line_dedup import RECURRING, dedup_lines
 from graphloom.llm.mixing import mix_sources
@@ -26,21 +27,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules. A null text has no words and fails; a null id is no reason to go."""
+    small_batches(spark)
     return quality_rules(docs, _table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of which no line is left go. A null or blank text has no lines and stays."""
+    small_batches(spark)
     return dedup_lines(docs, **RECURRING).where("n_dropped = 0 or n_lines > n_dropped").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of least id. Rows without an id stay, and texts without words are no copies."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. A null text holds none, a null item is none."""
+    small_batches(spark)
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 

@@ -34,6 +34,8 @@ FAMILIES = 3
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 REPEAT = 8
+#: Hashes of words that a worker remembers; half a million would take it 50 MB more, and no less time.
+REMEMBERED = 1 << 15
 
 
 def base_counts(text: str | None, hashes: Hashes) -> tuple[np.ndarray, int, int, int, int]:
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_byte
     rows = rows.select("text", "quality", "toxic", "stands_for", F.xxhash64("doc_id").alias("turn"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(REMEMBERED)
         for batch in batches:
             for held in pieces([batch], "text"):
                 part = pa.Table.from_batches(held)
@@ -263,7 +265,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, per_class: int = 1000, min
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(REMEMBERED)
         for held in pieces(batches, "text"):
             part = pa.Table.from_batches(held)
             found = judge(part["text"].to_pylist(), heads, hashes, min_quality, max_toxic)
