@@ -5,7 +5,7 @@ import pytest
 from graphloom.plans import queries
 
 
-@pytest.mark.parametrize("name", ["question_entities", "question_facts", "typed_facts", "question_routes"])
+@pytest.mark.parametrize("name", ["question_entities", "question_facts", "typed_facts", "question_routes", "ask_answers"])
 def test_no_broadcast_by_guess(spark, small_dir, name):
     df = queries.queries()[name](spark, small_dir)
     assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
