@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that travel with the plan at a time.
 BLOCK = 4_096
+#: Rows that meet them at once: a matrix of 8 MB.
+ROWS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,8 +34,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", ve
     """(query_id, id, score, rank): the exact k nearest of each query by cosine, the smaller id of equals.
 
     The queries are the stated set. They go in blocks of ``block`` vectors against all rows, which
-    are read where they lie: each batch sends on its own k best of each query, and the k best of
-    these are the result. Null vectors are no candidates.
+    are read where they lie, ``ROWS`` at a time: each task keeps the k best of each query and sends them on at its end,
+    and the k best of these are the result. Null vectors are no candidates.
     """
     out = None
     kind = "string" if dict(vectors.dtypes)[id] == "string" else "long"
@@ -46,19 +48,30 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", ve
         wanted = _arrays(pa.array([r["v"] for r in held], pa.list_(pa.float64())))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            n = len(ids)
+            # scores to 9 digits decide, then ids; the whole scores go with them
+            best, who, whole = np.full((n, k), -np.inf), np.zeros((n, k), ids.dtype), np.full((n, k), -np.inf)
             for batch in batches:
-                for start in range(0, batch.num_rows, 4_096):
-                    part = batch.slice(start, 4_096)
+                for start in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(start, ROWS)
                     own = as_ids(part["id"].to_pylist())
-                    scores = _arrays(part["v"]) @ wanted.T
+                    scores = wanted @ _arrays(part["v"]).T
                     if exclude_self:
-                        scores[own[:, None] == ids[None, :]] = -np.inf
-                    n = min(k, len(own))
-                    near = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:n]
-                    found = np.take_along_axis(scores, near, 0)
-                    q, o, s = np.broadcast_to(ids[None, :], near.shape).ravel(), own[near].ravel(), found.ravel()
-                    real = np.isfinite(s)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(o[real]), pa.array(s[real])], ["query_id", "id", "score"])
+                        scores[ids[:, None] == own[None, :]] = -np.inf
+                    raw, scores = scores, np.round(scores, 9)
+                    # what is not behind the k-th best so far; of a query's new ones the k best at most count, and their equals
+                    least = best[:, -1]
+                    if len(own) > k:
+                        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                    q, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    s, o, x = np.append(scores[q, at], best.ravel()), np.append(own[at], who.ravel()), np.append(raw[q, at], whole.ravel())
+                    q = np.append(q, np.repeat(np.arange(n), k))
+                    order = np.lexsort((o, -s, q))
+                    first = order[np.searchsorted(q[order], np.arange(n))[:, None] + np.arange(k)]
+                    best, who, whole = s[first], o[first], x[first]
+            real = np.isfinite(best)
+            q = np.broadcast_to(ids[:, None], best.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(who[real]), pa.array(whole[real])], ["query_id", "id", "score"])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
