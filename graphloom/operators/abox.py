@@ -18,6 +18,16 @@ def typed(df: DataFrame, s: Column, p: str | Column, o: Column, kind: str = "iri
     return rows.where("s <> '' and p <> '' and o <> ''")
 
 
+def typed_each(df: DataFrame, *specs: tuple) -> DataFrame:
+    """The triples of several ``typed`` at once: each spec has its arguments behind ``df``. A row of ``df`` is made once for all."""
+    lit = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+
+    def row(s: Column, p: str | Column, o: Column, kind: str = "iri", lang: str | Column | None = None, dtype: str | Column | None = None) -> Column:
+        return F.struct(*[lit(x).alias(c) for c, x in zip(TYPED, (s, p, o, kind, lang, dtype), strict=True)])
+
+    return df.select(F.explode(F.array(*[row(*spec) for spec in specs])).alias("t")).select("t.*").where("s <> '' and p <> '' and o <> ''")
+
+
 def typed_union(*parts: DataFrame) -> DataFrame:
     """A set of typed triples."""
     out = parts[0].select(TYPED)
@@ -60,10 +70,10 @@ def entity_triples(entities: DataFrame, base: str, classes: dict[str, str], lang
     s = iri_of(F.col("entity_id"), base)
     kind = _mapped(F.upper(F.trim(F.coalesce("entity_class", F.lit("")))), classes, F.lit("Thing"))
     label = F.coalesce(F.nullif(F.col("canonical_text"), F.lit("")), F.col("entity_id"))
-    parts = [typed(entities, s, TYPE, F.concat(F.lit(base), kind)), typed(entities, s, LABEL, label, "lit", lang)]
+    parts = [(s, TYPE, F.concat(F.lit(base), kind)), (s, LABEL, label, "lit", lang)]
     if "url" in entities.columns:
-        parts.append(typed(entities, s, f"{base}sourceUrl", F.col("url"), "lit", dtype=f"{XSD}anyURI"))
-    return typed_union(*parts)
+        parts.append((s, f"{base}sourceUrl", F.col("url"), "lit", None, f"{XSD}anyURI"))
+    return typed_union(typed_each(entities, *parts))
 
 
 def relation_triples(relations: DataFrame, base: str, properties: dict[str, str], strict: bool = True) -> DataFrame:
@@ -78,14 +88,15 @@ def relation_triples(relations: DataFrame, base: str, properties: dict[str, str]
     rows = relations.where("subject_id <> '' and object_id <> ''").withColumns({"s": iri_of(F.col("subject_id"), base), "o": iri_of(F.col("object_id"), base), "local": local}).where("local is not null")
     rows = rows.withColumn("p", F.concat(F.lit(base), "local"))
     known = {c: v for c, v in PROVENANCE.items() if c in relations.columns}
-    parts = [typed(rows, F.col("s"), F.col("p"), F.col("o"))]
+    parts = [(F.col("s"), F.col("p"), F.col("o"))]
     if known:
         values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in known]
-        noted = rows.withColumn("node", F.concat(F.lit("_:"), F.sha1(F.concat_ws("\u0001", "s", "p", "o", *values)))).where(F.concat(*values) != "")
-        parts.append(typed(noted, F.col("node"), TYPE, F.lit(STATEMENT)))
-        parts += [typed(noted, F.col("node"), f"{RDF}{part}", F.col(c)) for part, c in (("subject", "s"), ("predicate", "p"), ("object", "o"))]
-        parts += [typed(noted, F.col("node"), f"{base}{local}", F.col(c), "lit", dtype=dtype) for c, (local, dtype) in known.items()]
-    return typed_union(*parts)
+        node = F.col("node")  # null where nothing is known, and then no triple
+        rows = rows.withColumn("node", F.when(F.concat(*values) != "", F.concat(F.lit("_:"), F.sha1(F.concat_ws("\u0001", "s", "p", "o", *values)))))
+        parts.append((node, TYPE, F.lit(STATEMENT)))
+        parts += [(node, f"{RDF}{part}", F.col(c)) for part, c in (("subject", "s"), ("predicate", "p"), ("object", "o"))]
+        parts += [(node, f"{base}{local}", F.col(c), "lit", None, dtype) for c, (local, dtype) in known.items()]
+    return typed_union(typed_each(rows, *parts))
 
 
 # ---------------------------------------------------------------- alignment
