@@ -107,12 +107,21 @@ class Rule:
 
 
 def infer(triples: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Only what the rules add, to a fixed point."""
-    known, added = triples, None
+    """Only what the rules add, to a fixed point.
+
+    From the second round on, only rules with a body atom whose property a rule of the round before gives can add anything; where
+    there is none, that is the fixed point. Before it joins, a round's result meets only known triples of its properties.
+    """
+    known, added, turn = triples, None, list(rules)
     while True:
-        new = as_set(union(*[r.apply(known) for r in rules])).join(known, ["s", "p", "o"], "left_anti")
+        if not turn:
+            return added
+        gives = {r.head[1] for r in turn}
+        old = known if any(p.startswith("?") for p in gives) else known.where(F.col("p").isin(sorted(gives)))
+        new = as_set(union(*[r.apply(known) for r in turn])).join(old, ["s", "p", "o"], "left_anti")
         new = materialize(new.select("s", "p", "o", "o_kind"), "inferred")
         if new.isEmpty():
             return new if added is None else added
         added = new if added is None else added.unionByName(new)
         known = union(known, new)
+        turn = [r for r in rules if any(p.startswith("?") for p in gives) or any(p in gives for _, p, _ in r.body)]
